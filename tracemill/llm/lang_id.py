@@ -192,8 +192,8 @@ def sample(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, bytes_per_doc: i
     return out
 
 
-def predict(docs: DataFrame, samples: dict[str, list[bytes]], keep: tuple[str, ...], block: int = 256) -> DataFrame:
-    """docs' columns `keep` with lang_pred and score.
+def predict(docs: DataFrame, samples: dict[str, list[bytes]], keep: tuple[str, ...], block: int = 256, as_names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs' columns `keep` with lang_pred and score (or as_names).
 
     score: 1 - fewest / second fewest phrases per symbol, scaled to 0..1 by a logistic curve; above 0.5 for
     any text with a letter and a strict winner; 0 for und."""
@@ -222,10 +222,10 @@ def predict(docs: DataFrame, samples: dict[str, list[bytes]], keep: tuple[str, .
                 ok = letter[lo:hi]
                 best += [p.langs[w] if y else UND for w, y in zip(win, ok)]
                 score += np.where(ok, sure, 0.0).tolist()
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(best, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(best, pa.string()), pa.array(score, pa.float64())], names=[*names, *as_names])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return inner.mapInArrow(run, f"{ddl}, lang_pred string, score double")
+    return inner.mapInArrow(run, f"{ddl}, {as_names[0]} string, {as_names[1]} double")
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -234,6 +234,8 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The rows whose language is known (not und)."""
-    cols = tuple(docs.columns)
-    return predict(docs, sample(docs), cols).filter(F.col("lang_pred") != UND).select(*cols)
+    """The rows whose language is known (not und); other columns may have any names."""
+    inner = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    text = F.col(f"c{docs.columns.index('text')}")
+    got = predict(inner.withColumn("text", text), sample(docs), tuple(inner.columns), as_names=("p0", "p1"))
+    return got.filter(F.col("p0") != UND).select(*inner.columns).toDF(*docs.columns)
