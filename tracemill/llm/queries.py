@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lang_id, minhash
+from . import lang_id, line_dedup, minhash
 from .common import table
 
 
@@ -10,12 +10,16 @@ def op2_language_id(spark, sf_dir):
     return lang_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark, sf_dir):
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash(spark, sf_dir):
     return minhash.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "is_first")
 
 
 def queries():
-    return {f.__name__: f for f in (op2_language_id, op7_minhash)}
+    return {f.__name__: f for f in (op2_language_id, op6_line_dedup, op7_minhash)}
 
 
 def oracle_sql():
