@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import lang_id, line_dedup, minhash
+from . import decontaminate, lang_id, line_dedup, minhash
 from .common import table
 
 
+def op1_decontaminate(spark, sf_dir):
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_language_id(spark, sf_dir):
     return lang_id.identify(table(spark, sf_dir, "documents"))
 
@@ -19,7 +23,7 @@ def op7_minhash(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op2_language_id, op6_line_dedup, op7_minhash)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_language_id, op6_line_dedup, op7_minhash)}
 
 
 def oracle_sql():
