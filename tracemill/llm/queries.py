@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lang_id, line_dedup, minhash
+from . import bpe, decontaminate, lang_id, line_dedup, minhash
 from .common import table
 
+#: File of ranks below public_tokenizers; a parameter of the operators.
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def ranks_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(RANKS)
+
 
 def op1_decontaminate(spark, sf_dir):
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -22,8 +31,12 @@ def op7_minhash(spark, sf_dir):
     return minhash.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "is_first")
 
 
+def op10_bpe(spark, sf_dir):
+    return bpe.digests(table(spark, sf_dir, "documents"), ranks_path())
+
+
 def queries():
-    return {f.__name__: f for f in (op1_decontaminate, op2_language_id, op6_line_dedup, op7_minhash)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_language_id, op6_line_dedup, op7_minhash, op10_bpe)}
 
 
 def oracle_sql():
