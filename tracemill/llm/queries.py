@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, lang_id, line_dedup, minhash, toxicity
+from . import bpe, decontaminate, lang_id, line_dedup, minhash, quality, toxicity
 from .common import table
 
 #: File of ranks below public_tokenizers; a parameter of the operators.
@@ -23,6 +23,11 @@ def op2_language_id(spark, sf_dir):
     return lang_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.judged(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_line_dedup(spark, sf_dir):
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -41,7 +46,7 @@ def op10_bpe(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_decontaminate, op2_language_id, op6_line_dedup, op7_minhash, op9_toxicity, op10_bpe)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_language_id, op3_quality_rules, op6_line_dedup, op7_minhash, op9_toxicity, op10_bpe)}
 
 
 def oracle_sql():
