@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, lang_id, line_dedup, minhash, quality, toxicity
+from . import bpe, decontaminate, lang_id, line_dedup, minhash, pii, quality, toxicity
 from .common import table
 
 #: File of ranks below public_tokenizers; a parameter of the operators.
@@ -36,6 +36,10 @@ def op7_minhash(spark, sf_dir):
     return minhash.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "is_first")
 
 
+def op8_pii(spark, sf_dir):
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -46,7 +50,7 @@ def op10_bpe(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_decontaminate, op2_language_id, op3_quality_rules, op6_line_dedup, op7_minhash, op9_toxicity, op10_bpe)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_language_id, op3_quality_rules, op6_line_dedup, op7_minhash, op8_pii, op9_toxicity, op10_bpe)}
 
 
 def oracle_sql():
