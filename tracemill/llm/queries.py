@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, lang_id, line_dedup, minhash, pii, quality, toxicity
+from . import bpe, decontaminate, lang_id, line_dedup, minhash, packing, pii, quality, toxicity, url_filter
 from .common import table
 
 #: File of ranks below public_tokenizers; a parameter of the operators.
@@ -28,6 +28,15 @@ def op3_quality_rules(spark, sf_dir):
     return quality.judged(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_url_filter(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.verdicts(url_filter.sample_captures(pages), url_filter.sample_entries(pages))
+
+
+def op5_packing(spark, sf_dir):
+    return packing.packed(table(spark, sf_dir, "documents"), ranks_path())
+
+
 def op6_line_dedup(spark, sf_dir):
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -50,8 +59,8 @@ def op10_bpe(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_decontaminate, op2_language_id, op3_quality_rules, op6_line_dedup, op7_minhash, op8_pii, op9_toxicity, op10_bpe)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_language_id, op3_quality_rules, op4_url_filter, op5_packing, op6_line_dedup, op7_minhash, op8_pii, op9_toxicity, op10_bpe)}
 
 
 def oracle_sql():
-    return {}
+    return {"op4_url_filter": url_filter.SQL}
