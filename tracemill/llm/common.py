@@ -63,6 +63,15 @@ def dropped(*frames: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: So many ids are broadcast at most to pick rows; beyond, the join shuffles.
+BROADCAST_IDS = 1_000_000
+
+
+def picked(rows: DataFrame, ids: DataFrame, key: str = "_rid") -> DataFrame:
+    """The rows whose key is among ids (a written table with that one column, distinct)."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_semi")
+
+
 def with_row_id(docs: DataFrame, id_col: str = "doc_id", keep: tuple[str, ...] = ("text",)) -> DataFrame:
     """docs' columns `keep` with a unique long `_rid` in front.
 

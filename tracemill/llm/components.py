@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import dropped, written
@@ -36,8 +36,13 @@ def connected(edges: DataFrame) -> DataFrame:
     return out.union(out.select("root", "root").distinct())
 
 
-def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Links (a, b) whose components are those of all verified pairs that share a bucket.
+def bucket_classes(
+    members: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    facts: Callable[[DataFrame], DataFrame] | None = None,
+    possible: Callable[[str, str], Column] | None = None,
+) -> DataFrame:
+    """node and root of the components of all verified pairs that share a bucket; nodes without a link are left out.
 
     members: long columns bucket, node; a node may be in many buckets. verify takes distinct pairs (a, b) and
     returns those that hold.
@@ -45,7 +50,10 @@ def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -
     First every bucket is a star: its member with the most company is compared with the others. Then, only in
     buckets whose members are still in several components, the rows outside the leader's component are
     compared with the rows of all other components. Pairs inside one component need no test, so a bucket of
-    thousands of alike rows costs thousands of tests and not millions, and no link between components is lost."""
+    thousands of alike rows costs thousands of tests and not millions, and no link between components is lost.
+
+    facts gives for the nodes of the second step a struct column `fact`; possible("x", "y") says of two such columns
+    whether their nodes can be a link at all. It must be true for every link; it spares the second step pairs."""
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = written(members.join(sizes, "bucket"), "shared")
     company = shared.groupBy("node").agg(F.sum("n").alias("w"))
@@ -62,12 +70,23 @@ def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -
     of_lead = roots.select(F.col("node").alias("lead"), F.col("root").alias("lroot"))
     own = own.join(of_lead, "lead", "left").select("bucket", "node", "lead", "cls", F.coalesce("lroot", "lead").alias("lcls"))
     mixed = own.filter("cls <> lcls").groupBy("bucket").agg(F.count(F.lit(1)).alias("u"))
-    left = written(own.join(mixed, "bucket").filter("node <> lead"), "mixed")
-    odd = left.filter("cls <> lcls").select("bucket", F.col("node").alias("x"), F.col("cls").alias("xc"), F.col("lcls").alias("xl"))
+    left = written(own.join(mixed, "bucket").filter("node <> lead").select("bucket", "node", "cls", "lcls"), "mixed")
+    dropped(crowd)
+    if left.isEmpty():
+        return roots
+    can = F.lit(True)
+    rows = left
+    if facts is not None:
+        rows = written(left.join(facts(left.select("node").distinct()), "node"), "mixed-facts")
+        can = possible("x", "y")
+    fact = [F.col("fact").alias("x")] if facts is not None else []
+    odd = rows.filter("cls <> lcls").select("bucket", F.col("node").alias("xn"), F.col("cls").alias("xc"), F.col("lcls").alias("xl"), *fact)
+    rest = rows.withColumnRenamed("fact", "y")
     cross = (
-        odd.join(left, "bucket").filter("cls <> xc and (cls = xl or node < x)")
-        .select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
+        odd.join(rest, (odd.bucket == rest.bucket) & (F.col("cls") != F.col("xc")) & ((F.col("cls") == F.col("xl")) | (F.col("node") < F.col("xn"))) & can)
+        .select(F.least("node", "xn").alias("a"), F.greatest("node", "xn").alias("b")).distinct()
     )
     more = written(verify(cross), "links")
-    dropped(crowd, left, roots)
-    return links.union(more)
+    out = roots if more.isEmpty() else written(connected(links.union(more)), "roots")
+    dropped(left, *([rows] if facts is not None else []))
+    return out

@@ -11,7 +11,8 @@ a document for which the bound was too low is done again with a higher one.
 
 Signatures are cut into bands; documents that share a band are candidates; an exact overlap of the multisets
 of at least `threshold` makes a link. Exact copies (equal word sequences) take part as one. Classes are the
-connected components of the links; see components.bucket_links for why no bucket lists all its pairs.
+connected components of the links; see components.bucket_classes for why no bucket lists all its pairs. There a pair
+is spared the exact test if the shingles that no other row of such buckets has leave too few for the threshold.
 
 Defined results: documents without a word (null, empty, only signs) are in no class but their own. Repeated rows are
 exact copies. class_id is the doc_id of the class's row with the smallest row id. A document with fewer than five words
@@ -28,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import byte_chunks
-from .common import dropped, shipped, with_row_id, written
-from .components import bucket_links, connected
+from .common import dropped, picked, shipped, with_row_id, written
+from .components import bucket_classes
 
 SHINGLE = 5
 BANDS, ROWS = 24, 5
@@ -174,8 +175,9 @@ def overlaps(pairs: DataFrame, rows: DataFrame, threshold: float = THRESHOLD) ->
     """Of pairs (a, b) of row ids those whose shingle multisets overlap enough.
 
     Texts of candidates only are read and moved."""
-    nodes = pairs.select("a").union(pairs.select("b")).distinct()
-    texts = written(rows.join(nodes, rows._rid == nodes.a, "left_semi").select("_rid", flat_words(F.col("text")).alias("flat")), "texts")
+    pairs = written(pairs, "pairs")
+    nodes = written(pairs.select(F.col("a").alias("_rid")).union(pairs.select("b")).distinct(), "nodes")
+    texts = written(picked(rows, nodes).select("_rid", flat_words(F.col("text")).alias("flat")), "texts")
     both = (
         pairs.join(texts.select(F.col("_rid").alias("a"), F.col("flat").alias("ta")), "a")
         .join(texts.select(F.col("_rid").alias("b"), F.col("flat").alias("tb")), "b").select("a", "b", "ta", "tb")
@@ -195,6 +197,28 @@ def overlaps(pairs: DataFrame, rows: DataFrame, threshold: float = THRESHOLD) ->
     return both.mapInArrow(run, "a long, b long")
 
 
+def rare_facts(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """node and fact (size: shingles, shared: those that stand in another of the nodes too, at most)."""
+    ids = written(nodes.select(F.col("node").alias("_rid")), "nodes")
+    texts = picked(rows, ids).select("_rid", flat_words(F.col("text")).alias("flat"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bags = list(byte_bags(batch.column(1)))
+            ends = pa.array(np.cumsum([0, *[len(k) for k, _ in bags]]), pa.int32())
+            keys = pa.array(np.concatenate([k for k, _ in bags]).astype(np.int64)) if bags else pa.array([], pa.int64())
+            counts = pa.array(np.concatenate([c for _, c in bags]).astype(np.int64)) if bags else pa.array([], pa.int64())
+            size = pa.array([int(c.sum()) for _, c in bags], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), size, pa.ListArray.from_arrays(ends, keys), pa.ListArray.from_arrays(ends, counts)], names=["node", "size", "keys", "counts"])
+
+    bags = written(texts.mapInArrow(run, "node long, size long, keys array<long>, counts array<long>"), "bags")
+    each = bags.select("node", F.explode(F.arrays_zip("keys", "counts")).alias("s")).select("node", "s.keys", "s.counts")
+    alone = each.groupBy("keys").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"), F.sum("counts").alias("c")).filter("n = 1")
+    alone = alone.groupBy("node").agg(F.sum("c").alias("alone"))
+    out = bags.select("node", "size").join(alone, "node", "left")
+    return out.select("node", F.struct("size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared")).alias("fact"))
+
+
 def byte_bags(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Distinct shingle hashes and counts of each text of a column."""
     for lo, hi, data, offsets in byte_chunks(column):
@@ -212,8 +236,13 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, w
     firsts = sigs.groupBy("print").agg(F.min("_rid").alias("first"))
     reps = sigs.join(firsts, (sigs["print"] == firsts["print"]) & (F.col("_rid") == F.col("first")), "left_semi")
     members = reps.select(F.explode("buckets").alias("bucket"), F.col("_rid").alias("node"))
-    links = bucket_links(members, lambda pairs: overlaps(pairs, rows, threshold))
-    roots = written(connected(links), "roots")
+
+    def possible(x: str, y: str):
+        """The overlap is at most the lesser number of shared shingles; over sum(max) that must reach the threshold."""
+        most = F.least(f"{x}.shared", f"{y}.shared")
+        return most * (1 + threshold) >= (F.col(f"{x}.size") + F.col(f"{y}.size")) * threshold - 1e-6
+
+    roots = bucket_classes(members, lambda pairs: overlaps(pairs, rows, threshold), lambda nodes: rare_facts(nodes, rows), possible)
     copies = sigs.select("_rid", "print").join(firsts, "print").select("_rid", "first")
     owner = written(copies.join(roots, F.col("first") == F.col("node"), "left").select("_rid", F.coalesce("root", "first").alias("root")), "owners")
     dropped(sigs, roots)
