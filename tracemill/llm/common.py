@@ -92,5 +92,4 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def plain_words(text: Column) -> Column:
     """Lower-case runs of letters and digits; [] for null and for texts without any."""
-    flat = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-    return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " "))
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")

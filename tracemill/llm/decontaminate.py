@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import plain_words, with_row_id, written
-from .simhash import SEGMENT, fingerprints
+from .simhash import SEGMENT, fingerprints, long_fingerprints
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -70,8 +70,10 @@ def windows(rows: DataFrame, items: DataFrame) -> DataFrame:
 def prints(texts: DataFrame, key: str) -> DataFrame:
     """key, f1 and f2 of texts (key, words)."""
     grams = texts.select(key, F.expr(GRAMS).alias("grams"))
-    each = grams.select(key, F.size("grams").alias("n"), F.posexplode("grams").alias("_at", "_word"))
-    return fingerprints(each.withColumn("_seg", F.floor(F.col("_at") / SEGMENT).cast("int")).drop("_at"), [key, "n"], "n").drop("n")
+    each = grams.select(key, F.size("grams").alias("n"), "grams")
+    usual = each.filter(F.col("n") <= SEGMENT).select(key, "n", F.explode("grams").alias("_word"))
+    long = each.filter(F.col("n") > SEGMENT).select(key, "n", F.posexplode("grams").alias("_at", "_word"))
+    return fingerprints(usual, [key, "n"], "n").union(long_fingerprints(long, [key, "n"], "n")).drop("n")
 
 
 def near_values() -> Column:

@@ -26,27 +26,32 @@ def majority(name: str, n: Column) -> Column:
     return reduce(lambda x, y: x.bitwiseOR(y), bits)
 
 
+def _sums(features: DataFrame, keys: list[str]) -> DataFrame:
+    hashed = features.withColumn("_h1", F.xxhash64("_word")).withColumn("_h2", F.xxhash64("_word", F.lit(1)))
+    return hashed.groupBy(*keys).agg(*lanes(F.col("_h1"), "a"), *lanes(F.col("_h2"), "b"))
+
+
 def fingerprints(features: DataFrame, keys: list[str], n: str) -> DataFrame:
-    """keys, f1 and f2: 128-bit SimHash of each group of features.
-
-    features: keys (all of them functions of the group), n (number of features of the group, among the keys),
-    _seg (running number of the feature, divided by SEGMENT), _word (the feature)."""
-    h1, h2 = F.xxhash64("_word"), F.xxhash64("_word", F.lit(1))
-    hashed = features.select(*keys, "_seg", h1.alias("_h1"), h2.alias("_h2"))
-    part = hashed.groupBy(*keys, "_seg").agg(*lanes(F.col("_h1"), "a"), *lanes(F.col("_h2"), "b"))
-    usual = part.filter(F.col(n) <= SEGMENT).select(*keys, majority("a", F.col(n)).alias("f1"), majority("b", F.col(n)).alias("f2"))
-    long = part.filter(F.col(n) > SEGMENT)
+    """keys, f1 and f2: 128-bit SimHash of each group of features, of which there are SEGMENT at most.
+
+    features: keys (all of them functions of the group; n among them is the number of its features) and _word."""
+    return _sums(features, keys).select(*keys, majority("a", F.col(n)).alias("f1"), majority("b", F.col(n)).alias("f2"))
+
+
+def long_fingerprints(features: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """The same for groups of any size. features has the number of the feature in its group as _at."""
+    part = _sums(features.withColumn("_seg", F.floor(F.col("_at") / SEGMENT).cast("int")), [*keys, "_seg"])
     counts = [
         F.sum(F.shiftrightunsigned(F.col(f"{name}{j}"), 16 * k).bitwiseAND(F.lit(0xFFFF))).alias(f"{name}{j}_{k}")
         for name in "ab" for j in range(16) for k in range(4)
     ]
-    summed = long.groupBy(*keys).agg(*counts)
+    summed = part.groupBy(*keys).agg(*counts)
 
     def set_bits(name: str) -> Column:
         bit = lambda j, k: F.when(F.col(f"{name}{j}_{k}") * 2 > F.col(n), F.shiftleft(F.lit(1).cast("long"), j + 16 * k)).otherwise(F.lit(0).cast("long"))
         return reduce(lambda x, y: x.bitwiseOR(y), [bit(j, k) for j in range(16) for k in range(4)])
 
-    return usual.union(summed.select(*keys, set_bits("a").alias("f1"), set_bits("b").alias("f2")))
+    return summed.select(*keys, set_bits("a").alias("f1"), set_bits("b").alias("f2"))
 
 
 def distance(a1: str, a2: str, b1: str, b2: str) -> Column:
