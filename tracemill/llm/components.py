@@ -74,19 +74,19 @@ def bucket_classes(
     dropped(crowd)
     if left.isEmpty():
         return roots
-    can = F.lit(True)
-    rows = left
+    own = left.groupBy("node").agg(F.collect_list("bucket").alias("own"))  # as many as a node has buckets
+    can, fact = F.lit(True), []
+    rows = left.join(own, "node")
     if facts is not None:
-        rows = written(left.join(facts(left.select("node").distinct()), "node"), "mixed-facts")
-        can = possible("x", "y")
-    fact = [F.col("fact").alias("x")] if facts is not None else []
-    odd = rows.filter("cls <> lcls").select("bucket", F.col("node").alias("xn"), F.col("cls").alias("xc"), F.col("lcls").alias("xl"), *fact)
+        rows = rows.join(facts(left.select("node").distinct()), "node")
+        can, fact = possible("x", "y"), [F.col("fact").alias("x")]
+    rows = written(rows, "mixed-facts")
+    odd = rows.filter("cls <> lcls").select("bucket", F.col("node").alias("xn"), F.col("cls").alias("xc"), F.col("lcls").alias("xl"), F.col("own").alias("xown"), *fact)
     rest = rows.withColumnRenamed("fact", "y")
-    cross = (
-        odd.join(rest, (odd.bucket == rest.bucket) & (F.col("cls") != F.col("xc")) & ((F.col("cls") == F.col("xl")) | (F.col("node") < F.col("xn"))) & can)
-        .select(F.least("node", "xn").alias("a"), F.greatest("node", "xn").alias("b")).distinct()
-    )
+    differ = (F.col("cls") != F.col("xc")) & ((F.col("cls") == F.col("xl")) | (F.col("node") < F.col("xn")))
+    once = F.array_min(F.array_intersect("own", "xown")) == odd.bucket  # a pair counts in the first bucket it shares
+    cross = odd.join(rest, (odd.bucket == rest.bucket) & differ & can & once).select(F.least("node", "xn").alias("a"), F.greatest("node", "xn").alias("b")).distinct()
     more = written(verify(cross), "links")
     out = roots if more.isEmpty() else written(connected(links.union(more)), "roots")
-    dropped(left, *([rows] if facts is not None else []))
+    dropped(left, rows)
     return out
