@@ -116,12 +116,24 @@ def _scala(seq) -> list:
     return out
 
 
+def parsed(spark: SparkSession, sql: str):
+    """The parsed, unresolved plan under the settings of this very session."""
+    sessions = spark._jvm.org.apache.spark.sql.classic.SparkSession
+    before = sessions.getActiveSession()
+    sessions.setActiveSession(spark._jsparkSession)
+    try:
+        return spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    finally:
+        if before.isDefined():
+            sessions.setActiveSession(before.get())
+
+
 def check(spark: SparkSession, sql: str, relations: set[str]) -> str:
     """Simple class name of the statement's root, once it may pass; nothing is executed.
 
     relations: names that may be read."""
     try:
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+        plan = parsed(spark, sql)
     except ParseException as e:
         raise GateError(f"not one readable statement: {str(e)[:300]}") from e
     java = spark._jvm.java.lang.Class

@@ -86,7 +86,7 @@ def run(session: SparkSession, text: str, args: dict, frames: dict[str, DataFram
     rows = [(schema or "public", n, f.name, i + 1, f.dataType.simpleString(), "YES" if f.nullable else "NO") for n in sorted(every) for i, f in enumerate(every[n].schema)]
     columns = "table_schema string, table_name string, column_name string, ordinal_position int, data_type string, is_nullable string"
     if kind.startswith("Describe"):
-        plan = session._jsparkSession.sessionState().sqlParser().parsePlan(text)
+        plan = gate.parsed(session, text)
         target = gate._scala(plan.children().head().multipartIdentifier())[-1].removeprefix(prefix)
         return session.createDataFrame([r for r in rows if r[1] == target], columns).select("column_name", "data_type", "is_nullable")
     if "information_schema__" in text:

@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import gate
+from ..operators import workflow as wf
+from ..operators.outputs import query_outputs
 from ..operators.provider import fresh_session, run
+from ..operators.table import Table
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -39,7 +42,7 @@ SHARED = {
     "case_between": "SELECT o_orderkey, CASE WHEN o_totalprice BETWEEN 1000 AND 50000 THEN 'mid' WHEN o_totalprice > 50000 THEN 'high' ELSE 'low' END AS band FROM orders",
     "join_using": "SELECT l_orderkey AS order_key, l_linenumber AS line, o_orderstatus AS status FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
     "three_way_fusion": "SELECT o_orderkey AS order_key, c_name AS customer, n_name AS nation FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey",
-    "left_join_null_fill": "SELECT c_custkey AS k, COUNT(o_orderkey) AS orders_seen, COALESCE(SUM(CAST(ROUND(o_totalprice * 100) AS BIGINT)), 0) AS cents FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey",
+    "left_join_null_fill": "SELECT c_custkey AS k, COUNT(o_orderkey) AS orders_seen, CAST(COALESCE(SUM(CAST(ROUND(o_totalprice * 100) AS BIGINT)), 0) AS BIGINT) AS cents FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey",
     "full_join": "SELECT r_regionkey AS r, n_nationkey AS n FROM region FULL JOIN nation ON r_regionkey = n_regionkey AND n_nationkey > 10",
     "right_join": "SELECT r_name, n_name FROM region RIGHT JOIN nation ON r_regionkey = n_regionkey AND r_regionkey < 2",
     "semi_join": "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)",
@@ -51,7 +54,7 @@ SHARED = {
     "group_count_order": "SELECT event_type, COUNT(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type",
     "count_distinct": "SELECT event_type, COUNT(user_id) AS n, COUNT(DISTINCT user_id) AS users FROM events GROUP BY event_type",
     "distinct_values": "SELECT DISTINCT event_type, user_id FROM events",
-    "coalesce_sum": "SELECT COALESCE(SUM(event_id), 0) AS s FROM events WHERE event_type = 'no such type'",
+    "coalesce_sum": "SELECT CAST(COALESCE(SUM(event_id), 0) AS BIGINT) AS s FROM events WHERE event_type = 'no such type'",
     "avg_three_keys": "SELECT l_returnflag AS f, l_linestatus AS s, l_linenumber AS n, ROUND(AVG(l_quantity), 6) AS q FROM lineitem GROUP BY l_returnflag, l_linestatus, l_linenumber",
     "having": "SELECT o_custkey AS k, COUNT(*) AS n FROM orders GROUP BY o_custkey HAVING COUNT(*) >= 3",
     "filtered_aggregate": "SELECT event_type, COUNT(*) FILTER (WHERE value > 0) AS pos, COUNT(*) AS n FROM events GROUP BY event_type",
@@ -60,16 +63,16 @@ SHARED = {
     "rollup": "SELECT o_orderstatus AS s, o_orderpriority AS p, COUNT(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)",
     "cube": "SELECT l_returnflag AS f, l_linestatus AS s, COUNT(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
     "grouping_sets": "SELECT l_returnflag AS f, l_linestatus AS s, COUNT(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())",
-    "row_number_window": "SELECT o_orderkey AS k, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders",
-    "rank_window": "SELECT p_partkey AS k, RANK() OVER (PARTITION BY p_brand ORDER BY p_size) AS r, DENSE_RANK() OVER (PARTITION BY p_brand ORDER BY p_size) AS d FROM part",
-    "ntile_window": "SELECT c_custkey AS k, NTILE(4) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS q FROM customer",
+    "row_number_window": "SELECT o_orderkey AS k, CAST(ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS rn FROM orders",
+    "rank_window": "SELECT p_partkey AS k, CAST(RANK() OVER (PARTITION BY p_brand ORDER BY p_size) AS BIGINT) AS r, CAST(DENSE_RANK() OVER (PARTITION BY p_brand ORDER BY p_size) AS BIGINT) AS d FROM part",
+    "ntile_window": "SELECT c_custkey AS k, CAST(NTILE(4) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS BIGINT) AS q FROM customer",
     "lag_lead_window": "SELECT event_id, LAG(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, LEAD(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after FROM events",
-    "frame_window": "SELECT event_id, SUM(event_id) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS s, FIRST_VALUE(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS f FROM events",
+    "frame_window": "SELECT event_id, CAST(SUM(event_id) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS s, FIRST_VALUE(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS f FROM events",
     "range_window": "SELECT event_id, COUNT(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS n FROM events",
     "union_all": "SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region",
     "union_distinct": "SELECT n_regionkey AS k FROM nation UNION SELECT r_regionkey FROM region",
     "intersect": "SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_nationkey < 10",
-    "except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 50000",
+    "except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 250000",
     "except_all": "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT n_nationkey FROM nation",
     "order_limit": "SELECT o_orderkey AS k, o_totalprice AS p FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 50",
     "top1": "SELECT o_orderkey AS k FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 1",
@@ -77,20 +80,20 @@ SHARED = {
     "correlated_subquery": "SELECT o_orderkey AS k FROM orders o WHERE o_totalprice > (SELECT AVG(i.o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)",
     "cte_select": "WITH big AS (SELECT o_custkey AS k, COUNT(*) AS n FROM orders GROUP BY o_custkey) SELECT c_name AS name, n FROM big JOIN customer ON c_custkey = k WHERE n > 2",
     "recursive_cte": "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 50) SELECT n FROM t",
-    "string_functions": "SELECT n_nationkey AS k, UPPER(n_name) AS u, SUBSTRING(n_name, 2, 3) AS s, LENGTH(n_name) AS l, REPLACE(n_name, 'N', 'n') AS r, TRIM(CONCAT(' ', n_name, ' ')) AS t, POSITION('T' IN n_name) AS p FROM nation",
+    "string_functions": "SELECT n_nationkey AS k, UPPER(n_name) AS u, SUBSTRING(n_name, 2, 3) AS s, CAST(LENGTH(n_name) AS BIGINT) AS l, REPLACE(n_name, 'N', 'n') AS r, TRIM(CONCAT(' ', n_name, ' ')) AS t, CAST(POSITION('T' IN n_name) AS BIGINT) AS p FROM nation",
     "repeat": "SELECT n_nationkey AS k, REPEAT('x', n_nationkey) AS xs FROM nation",
-    "date_functions": "SELECT o_orderkey AS k, YEAR(o_orderdate) AS y, MONTH(o_orderdate) AS m, CAST(DATE_TRUNC('month', o_orderdate) AS DATE) AS first_day, EXTRACT(DAY FROM o_orderdate) AS d FROM orders",
+    "date_functions": "SELECT o_orderkey AS k, CAST(YEAR(o_orderdate) AS BIGINT) AS y, CAST(MONTH(o_orderdate) AS BIGINT) AS m, CAST(DATE_TRUNC('month', o_orderdate) AS DATE) AS first_day, CAST(EXTRACT(DAY FROM o_orderdate) AS BIGINT) AS d FROM orders",
     "math_functions": "SELECT l_orderkey AS k, l_linenumber AS n, ABS(l_tax - l_discount) AS a, ROUND(l_extendedprice, 1) AS r, ROUND(SQRT(l_quantity), 6) AS q, l_orderkey % 7 AS m, GREATEST(l_tax, l_discount) AS g, LEAST(l_tax, l_discount) AS l, NULLIF(l_linenumber, 3) AS z FROM lineitem",
     "interval_clip": (
         "WITH e AS (SELECT event_id, user_id, event_id * 10 AS ts, LEAD(event_id * 10) OVER (PARTITION BY user_id ORDER BY event_id) - event_id * 10 AS dur FROM events) "
-        "SELECT user_id, SUM(LEAST(ts + dur, 5000) - GREATEST(ts, 1000)) AS clipped FROM e WHERE ts < 5000 AND ts + dur > 1000 GROUP BY user_id"
+        "SELECT user_id, CAST(SUM(LEAST(ts + dur, 5000) - GREATEST(ts, 1000)) AS BIGINT) AS clipped FROM e WHERE ts < 5000 AND ts + dur > 1000 GROUP BY user_id"
     ),
     "adjacent_interval_sum": (
         "WITH s AS (SELECT user_id AS cpu, event_type AS thread, event_id AS clock, LEAD(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS until FROM events) "
-        "SELECT cpu, thread, SUM(until - clock) AS busy, COUNT(*) AS slices FROM s WHERE until IS NOT NULL AND thread <> 'idle' GROUP BY cpu, thread"
+        "SELECT cpu, thread, CAST(SUM(until - clock) AS BIGINT) AS busy, COUNT(*) AS slices FROM s WHERE until IS NOT NULL AND thread <> 'idle' GROUP BY cpu, thread"
     ),
     "slice_join_sum": (
-        "SELECT o_custkey AS thread, c_name AS name, COUNT(*) AS slices, SUM(l_linenumber) AS dur FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey "
+        "SELECT o_custkey AS thread, c_name AS name, COUNT(*) AS slices, CAST(SUM(l_linenumber) AS BIGINT) AS dur FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey "
         "WHERE o_custkey <> 0 AND l_linenumber IS NOT NULL GROUP BY o_custkey, c_name"
     ),
     "clock_conversion": (
@@ -103,7 +106,7 @@ SHARED = {
     ),
     "missing_parents": "SELECT l_orderkey AS k FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey)",
     "pricing_summary": (
-        "SELECT l_returnflag AS f, l_linestatus AS s, COUNT(*) AS n, SUM(CAST(l_quantity AS BIGINT)) AS qty, ROUND(SUM(l_extendedprice * (1 - l_discount)), 2) AS revenue "
+        "SELECT l_returnflag AS f, l_linestatus AS s, COUNT(*) AS n, CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS qty, ROUND(SUM(l_extendedprice * (1 - l_discount)), 2) AS revenue "
         "FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus"
     ),
     "revenue_by_nation": (
@@ -185,10 +188,6 @@ def trace_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def workflow_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A workflow with a nested run, its outputs published and queried below the schema `output`."""
-    from ..operators import workflow as wf
-    from ..operators.outputs import query_outputs
-    from ..operators.table import Table
-
     @wf.workflow(name="filter-events", description="Events of one type")
     def inner(ctx: wf.Context, *, kind: str):
         return Table.from_frame(bound(ctx.spark, sf_dir, "SELECT event_id, user_id FROM events WHERE event_type = $kind", {"kind": kind}))
