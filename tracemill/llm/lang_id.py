@@ -107,21 +107,21 @@ class CrossParser:
         width = len(seen) + 2  # one code for symbols never seen, one for the padding after a text's end
         self.code = np.full(256, len(seen), np.uint8)
         self.code[seen] = np.arange(len(seen))
-        self.pad, rows, self.roots, base = len(seen) + 1, [], [], 0
+        self.pad, rows, self.starts, base = len(seen) + 1, [], [], 0
         for lang in self.langs:
             nxt = suffix_automaton(texts[lang])
-            step = np.full((len(nxt), width), base, np.uint32) | BREAK  # no match: the phrase ends
+            # One state more: no phrase goes on, so any symbol begins one. A symbol that no phrase can hold is a phrase alone.
+            idle = np.uint32((base + len(nxt)) * width)
+            step = np.full((len(nxt) + 1, width), idle | BREAK, np.uint32)
             for c, to in nxt[0].items():
                 step[:, self.code[c]] = np.uint32((base + to) * width) | BREAK
-            step[:, len(seen)] = np.uint32(base * width) | BREAK
-            step[step == (np.uint32(base) | BREAK)] = np.uint32(base * width) | BREAK
             for s, edges in enumerate(nxt):
                 for c, to in edges.items():
                     step[s, self.code[c]] = (base + to) * width
-            step[:, self.pad] = (base + np.arange(len(nxt))) * width
+            step[:, self.pad] = (base + np.arange(len(nxt) + 1)) * width
             rows.append(step)
-            self.roots.append(base * width)
-            base += len(nxt)
+            self.starts.append(int(idle))
+            base += len(nxt) + 1
         self.step = np.concatenate(rows).ravel() if rows else np.zeros(0, np.uint32)
 
     def phrases(self, data: np.ndarray, offsets: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,9 +142,9 @@ class CrossParser:
         grid[np.arange(block)[None, :] >= lens[:, None]] = self.pad
         grid = np.ascontiguousarray(grid.T).astype(np.uint32)
         active = np.searchsorted(-lens, -np.arange(1, block + 1), side="right")
-        for k, root in enumerate(self.roots):
-            state = np.full(len(starts), root, np.uint32)
-            count = np.ones(len(starts), np.uint32)
+        for k, first_state in enumerate(self.starts):
+            state = np.full(len(starts), first_state, np.uint32)
+            count = np.zeros(len(starts), np.uint32)
             for t in range(block):
                 n = active[t]
                 if not n:
