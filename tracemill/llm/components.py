@@ -23,7 +23,7 @@ def connected(edges: DataFrame) -> DataFrame:
         return ends.groupBy("x").agg(F.sum("child").alias("child"), F.max("root").alias("root")).filter("child + root > 1").isEmpty()
 
     e = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    while not stars(e):
+    while not e.isEmpty() and not stars(e):
         both = e.union(e.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
@@ -56,6 +56,8 @@ def bucket_classes(
     whether their nodes can be a link at all. It must be true for every link; it spares the second step pairs."""
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = written(members.join(sizes, "bucket"), "shared")
+    if shared.isEmpty():
+        return shared.select("node", F.col("node").alias("root"))
     company = shared.groupBy("node").agg(F.sum("n").alias("w"))
     ranked = shared.join(company, "node").select("bucket", "node", "n", F.col("w").cast("double").alias("w"))
     top = ranked.groupBy("bucket").agg(F.max("w").alias("w"))
