@@ -59,7 +59,8 @@ def windows(rows: DataFrame, items: DataFrame) -> DataFrame:
         spots = spots.select(gram_hash("off", k).alias("h"), "off", "size").distinct()
         spots = written(spots, "shingles")
         near = F.broadcast(spots) if spots.count() <= BROADCAST_SHINGLES else spots
-        at = docs.filter(F.size("words") >= k).select("_rid", "words", F.explode(F.expr(f"sequence(0, size(words) - {k})")).alias("at"))
+        # The outer form and no filter on the words, for which the optimizer would split every text once more.
+        at = docs.select("_rid", "words", F.explode_outer(F.expr(f"case when size(words) >= {k} then sequence(0, size(words) - {k}) end")).alias("at")).filter("at is not null")
         hits = at.select("_rid", "words", "at", gram_hash("at", k).alias("h")).join(near, "h")
         placed = hits.select("_rid", "words", F.expr("greatest(0, least(at - off, size(words) - size))").alias("start"), "size")
         cut = placed.select("_rid", "start", F.expr("slice(words, start + 1, size)").alias("words")).distinct()

@@ -167,7 +167,7 @@ def signatures(rows: DataFrame, bands: int = BANDS, width: int = ROWS) -> DataFr
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (hi - lo) * bands + 1, bands), pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), lists], names=["_rid", "print", "buckets"])
 
-    flat = rows.select("_rid", flat_words(F.col("text")).alias("flat")).filter("flat <> ''")
+    flat = rows.filter(F.col("text").rlike(r"[\p{L}\p{N}]")).select("_rid", flat_words(F.col("text")).alias("flat"))
     return flat.select("_rid", F.md5("flat").alias("print"), "flat").mapInArrow(run, "_rid long, print string, buckets array<long>")
 
 

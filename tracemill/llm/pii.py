@@ -113,7 +113,7 @@ def disclosing(rows: DataFrame, base: DataFrame, threshold: float = THRESHOLD) -
     cand = written(joint.select("term").distinct(), "terms")
     every = rows.select("_rid", F.posexplode(F.expr("split(text, '\\n', -1)")).alias("line", "l"))
     total = rows.select(F.sum(F.expr("cast(size(split(coalesce(text, ''), '\\n', -1)) as bigint)")).alias("n")).first().n
-    found = every.select("_rid", "line", F.explode(F.expr(r"array_distinct(split(lower(l), '[^\\p{L}\\p{N}]+'))")).alias("term"))
+    found = every.select("_rid", "line", F.explode_outer(F.expr(r"array_distinct(split(lower(l), '[^\\p{L}\\p{N}]+'))")).alias("term"))
     seen = written(found.join(F.broadcast(cand) if cand.count() <= BROADCAST_TERMS else cand, "term"), "seen")
     n_t = seen.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     n = F.lit(float(total))

@@ -157,8 +157,9 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> list[li
     picked = own.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(scale)) < min(scale, scale * limit // max(n, 1) + 1))
     single = picked.groupBy("doc_id").agg(F.min("quality").alias("lo"), F.max("quality").alias("hi")).filter("lo = hi").select("doc_id", (F.col("lo") == 0).alias("bad"))
     rows = docs.select("doc_id", "text").join(F.broadcast(single), "doc_id")
-    facts = statistics(rows, ("doc_id", "bad")).filter(~F.expr(BASE_FAILED)).select("doc_id", "bad", *[F.expr(sql).alias(f) for f, sql in FEATURES.items()])
-    got = sorted(tuple(r) for r in facts.distinct().collect())
+    # No filter here: it would be moved below the statistics and repeat them.
+    facts = statistics(rows, ("doc_id", "bad")).select(F.expr(BASE_FAILED).alias("failed"), "doc_id", "bad", *[F.expr(sql).alias(f) for f, sql in FEATURES.items()])
+    got = sorted({tuple(r)[1:] for r in facts.collect() if not r.failed})
     if not got:
         return []
     x = np.array([r[2:] for r in got], float)
