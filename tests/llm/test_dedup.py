@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -140,3 +141,26 @@ def test_decontamination(spark, docs, strange, empty, words, texts):
     assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == set(range(len(texts))) - {d for d, _ in want}
     assert decontaminate.matches(empty, bench).count() == 0 and decontaminate.matches(docs, bench.limit(0)).count() == 0
     assert decontaminate.clean(strange, bench).columns == strange.columns
+
+
+def test_recall_of_changed_lines(spark):
+    """Lines with changed characters and words, against the edit distance: nearly all go, and no line that is not similar."""
+    r = random.Random(11)
+    letters = "abcdefghiklmnoprstuvw"
+    word = lambda: "".join(r.choice(letters) for _ in range(r.randrange(3, 9)))
+    rows, want = [], {}
+    for n in [2, 3, 5, 8, 12, 20, 30, 60] * 12:
+        one = [word() for _ in range(n)]
+        for kind in ("character", "characters", "word"):
+            two = list(one)
+            for i in r.sample(range(n), min(n, 2 if kind == "characters" else 1)):
+                at = r.randrange(len(two[i]))
+                two[i] = word() if kind == "word" else two[i][:at] + r.choice(letters) + two[i][at + 1 :]
+            a, b = " ".join(one), " ".join(two)
+            if a != b and distance(a, b) <= 0.2 * max(len(a), len(b)):
+                want[len(rows) + 1] = kind
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+    got = {x.doc_id for x in line_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")).filter("n_dropped > 0").collect()}
+    assert sum(k in got for k in want) >= 0.99 * len(want)
+    tiny = [(i, t) for i, t in enumerate(["la ja", "la xa", "abcdefgh", "abcdefgx", "one two three", "oxe two thrxe", "la"])]
+    assert {x.doc_id for x in line_dedup.report(spark.createDataFrame(tiny, "doc_id long, text string")).filter("n_dropped > 0").collect()} == {1, 3, 5}
