@@ -159,6 +159,13 @@ def test_personal_data(spark, empty):
     assert pii.digests(empty).count() == 0
 
 
+def test_terms_of_an_entity_in_one_document(spark):
+    lines = ["call quixel at jo@one.example today"] + ["nothing of interest here today, call at will"] * 20
+    got = {x.doc_id: x for x in pii.digests(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    assert f"term:{lines[0].index('quixel')}:{lines[0].index('quixel') + 6}" in got[0].spans and got[0].n_term == 1
+    assert not any(got[i].n_term for i in range(1, len(lines)))
+
+
 def test_toxic_texts(spark, words, empty):
     r = random.Random(8)
     insults = ["scum", "idiot", "clown"]

@@ -8,8 +8,9 @@ match ended.
 Information-theoretic sanitisation: the values of the base spans are the protected entities, lines of text the
 contexts. For an entity c and a term t of its lines, PMI(c; t) / IC(c) = log(n_ct N / (n_c n_t)) / log(N / n_c) says
 how much of the entity's information t gives away (1: t occurs with c only). Counts cover all lines
-of the corpus. A term at or over `threshold`, found with the entity in MIN_SUPPORT documents or more, is disclosing: wherever
-it stands in a line, it is a span of kind `term`, to be generalised or removed.
+of the corpus. An entity or term that occurs once is judged like any other: there is no floor of documents or lines. Numbers and
+single cased letters are not terms. A term
+at or over `threshold` is disclosing: wherever it stands in a line, it is a span of kind `term`, to be generalised or removed.
 
 Defined results: null and empty texts have no spans; base_sha256 is then that of the empty string; repeated rows count
 as documents of their own; a match that fails its test is dropped and not tried again from inside.
@@ -24,7 +25,6 @@ from .common import dropped, with_row_id, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 THRESHOLD = 0.9
-MIN_SUPPORT = 3
 #: So many terms are broadcast at most; beyond, the join shuffles.
 BROADCAST_TERMS = 1_000_000
 
@@ -103,12 +103,11 @@ def disclosing(rows: DataFrame, base: DataFrame, threshold: float = THRESHOLD) -
     own = rows.join(F.broadcast(held) if few <= BROADCAST_TERMS else held, "_rid", "left_semi")
     lines = own.select("_rid", F.explode(F.expr("split(text, '\\n', -1)")).alias("l")).select("_rid", "l", base_spans("l").alias("s")).filter("size(s) > 0")
     terms = F.expr(r"array_distinct(filter(split(lower(array_join(transform(s, x -> x.value), ' ')), '[^\\p{L}\\p{N}]+'), w -> w <> ''))")
-    words = F.expr(r"array_distinct(filter(split(lower(l), '[^\\p{L}\\p{N}]+'), w -> w <> '' and not w rlike '^[0-9]+$'))")
+    words = F.expr(r"array_distinct(filter(split(lower(l), '[^\\p{L}\\p{N}]+'), w -> w <> '' and not w rlike '^([0-9]+|[\\p{Lu}\\p{Ll}])$'))")
     contexts = written(lines.select("_rid", F.expr("array_distinct(transform(s, x -> x.value))").alias("values"), F.array_except(words, terms).alias("terms")), "contexts")
     n_c = contexts.select(F.explode("values").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
     pairs = contexts.select("_rid", F.explode("values").alias("entity"), "terms").select("_rid", "entity", F.explode("terms").alias("term"))
-    each = pairs.groupBy("entity", "term", "_rid").agg(F.count(F.lit(1)).alias("n"))
-    joint = each.groupBy("entity", "term").agg(F.sum("n").alias("n_ct"), F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= MIN_SUPPORT)
+    joint = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct"))
     joint = written(joint, "joint")
     cand = written(joint.select("term").distinct(), "terms")
     every = rows.select("_rid", F.posexplode(F.expr("split(text, '\\n', -1)")).alias("line", "l"))
