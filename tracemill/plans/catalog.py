@@ -144,6 +144,10 @@ TWO = {
         "SELECT vec_id, p AS at, x FROM embeddings LATERAL VIEW posexplode(embedding) e AS p, x WHERE vec_id < 20",
         "SELECT vec_id, CAST(i - 1 AS INTEGER) AS at, x FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id < 20)", None,
     ),
+    "explode_array_all": (
+        "SELECT vec_id, p AS at, x FROM embeddings LATERAL VIEW posexplode(embedding) e AS p, x",
+        "SELECT vec_id, CAST(i - 1 AS INTEGER) AS at, x FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)", None,
+    ),
     "qualify_first": (
         "SELECT k, p FROM (SELECT o_custkey AS c, o_orderkey AS k, o_totalprice AS p, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) t WHERE rn = 1",
         "SELECT o_orderkey AS k, o_totalprice AS p FROM orders QUALIFY ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1", None,
