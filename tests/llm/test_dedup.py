@@ -164,3 +164,54 @@ def test_recall_of_changed_lines(spark):
     assert sum(k in got for k in want) >= 0.99 * len(want)
     tiny = [(i, t) for i, t in enumerate(["la ja", "la xa", "abcdefgh", "abcdefgx", "one two three", "oxe two thrxe", "la"])]
     assert {x.doc_id for x in line_dedup.report(spark.createDataFrame(tiny, "doc_id long, text string")).filter("n_dropped > 0").collect()} == {1, 3, 5}
+
+
+def test_recall_of_replaced_words(spark):
+    """One to three words replaced in lines of 8 to 30 words, against all pairs by the edit distance."""
+    r = random.Random(23)
+    word = lambda: "".join(r.choice("abcdefghiklmnoprstuvw") for _ in range(r.randrange(2, 11)))
+    lines = []
+    for _ in range(200):
+        one = [word() for _ in range(r.randrange(8, 31))]
+        two = list(one)
+        for i in r.sample(range(len(one)), r.randrange(1, 4)):
+            two[i] = word()
+        lines += [" ".join(one), " ".join(two)]
+    near = {b for b in range(len(lines)) for a in range(b) if abs(len(lines[a]) - len(lines[b])) <= 0.2 * max(len(lines[a]), len(lines[b])) and len(set(lines[a].split()) & set(lines[b].split())) > 2 and distance(lines[a], lines[b]) <= 0.2 * max(len(lines[a]), len(lines[b])) + 1e-9}
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(lines)], "doc_id long, text string, pos string, norm string")
+    got = {x.doc_id for x in line_dedup.report(docs).filter("n_dropped > 0").collect()}
+    assert got <= near and len(near) > 120 and len(got) >= 0.95 * len(near)
+    assert line_dedup.cleaned(docs).columns == docs.columns
+
+
+def test_fingerprints_against_a_plain_count(spark):
+    from tracemill.llm.simhash import with_fingerprint
+
+    r = random.Random(1)
+    words = [[f"w{r.randrange(10 ** 6)}" for _ in range(n)] for n in (0, 1, 2, 7, 300, 8000, 8001, 20_000)]
+    df = spark.createDataFrame(list(enumerate(words)), "id int, words array<string>")
+    hashes = {x.id: (x.a, x.b) for x in df.selectExpr("id", "transform(words, w -> xxhash64(w)) as a", "transform(words, w -> xxhash64(w, 1)) as b").collect()}
+    for x in with_fingerprint(df, "words", ["id"]).collect():
+        for got, hs in zip((x.f1, x.f2), hashes[x.id]):
+            want = sum(1 << j for j in range(64) if 2 * sum(h >> j & 1 for h in hs) > len(hs))
+            assert got % (1 << 64) == want
+
+
+def test_windows_of_any_order(spark, words):
+    """Halves that stand in the other order, insertions and repeated shingles, against the windows at all starts."""
+    r = random.Random(9)
+    item = words[:60]
+    rep = (words[100:106] * 9)[:50]
+    texts = [words[200:230] + item[30:] + item[:30] + words[230:250], words[300:310] + item[:20] + ["inserted"] + item[20:] + words[310:320], words[:4] + rep + words[4:8], rep[:45], item[:57], rep * 3 + ["odd"] + rep, item[1:] + item[:1]]
+    texts += [[r.choice(item + words[400:404]) for _ in range(200)] for _ in range(3)]
+    items = [(1, " ".join(item)), (2, " ".join(rep)), (3, " ".join(words[100:103]))]
+    docs = spark.createDataFrame([(i, " ".join(t), "clash") for i, t in enumerate(texts)], "doc_id long, text string, words string")
+    got = {(x.doc_id, x.item_id): (x.start, round(x.similarity, 9)) for x in decontaminate.matches(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {}
+    for d, x in enumerate(texts):
+        for i, t in items:
+            w = norm(t)
+            best = max(((round(jaccard(grams(w), grams(x[s : s + len(w)])), 9), -s) for s in range(max(1, len(x) - len(w) + 1))))
+            if best[0] >= 0.8:
+                want[d, i] = (-best[1], best[0])
+    assert got == want and (0, 1) in got and (5, 2) in got

@@ -43,16 +43,32 @@ def shared_dir(spark: SparkSession) -> str:
     return got.rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """Folder of this application's intermediate tables."""
+    return f"{shared_dir(spark)}/tracemill/{spark.sparkContext.applicationId}"
+
+
+def cleared(spark: SparkSession) -> None:
+    """Removes every table that written() made in this application, those included that results still read: call it when they are consumed."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark))
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, survives the loss of any executor."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tracemill/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tm_path = path
     return out
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df if written() made it, else written()."""
+    return df if getattr(df, "_tm_path", None) else written(df, name)
+
+
 def dropped(*frames: DataFrame) -> None:
     """Removes tables made by written() that no later plan reads."""
     for df in frames:

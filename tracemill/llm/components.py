@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, written
+from .common import dropped, kept, written
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -33,7 +34,14 @@ def connected(edges: DataFrame) -> DataFrame:
         dropped(e)
         e = nxt
     out = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return out.union(out.select("root", "root").distinct())
+    out = out.union(out.select("root", "root").distinct())
+    out._tm_path = e._tm_path  # so that dropped() finds the edges
+    return out
+
+
+def size_class(size: Column, ratio: float) -> Column:
+    """A number that differs by one at most between positive sizes of which the lesser is at least `ratio` of the greater."""
+    return F.floor(F.log(size) / (-math.log(ratio) * 1.000001)).cast("int")
 
 
 def bucket_classes(
@@ -52,8 +60,11 @@ def bucket_classes(
     compared with the rows of all other components. Pairs inside one component need no test, so a bucket of
     thousands of alike rows costs thousands of tests and not millions, and no link between components is lost.
 
-    facts gives for the nodes of the second step a struct column `fact`; possible("x", "y") says of two such columns
-    whether their nodes can be a link at all. It must be true for every link; it spares the second step pairs."""
+    facts gives for the nodes of the second step a struct column `fact` and an int `size`; possible("x", "y") says of two such
+    structs whether their nodes can be a link at all, and the sizes of a link differ by one at most. Both must hold for every
+    link; they spare the second step pairs, the sizes as a key of the join, so that they are not even listed.
+
+    The result of verify may be a table made by written(); it is removed when it is no longer needed."""
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = written(members.join(sizes, "bucket"), "shared")
     if shared.isEmpty():
@@ -65,8 +76,10 @@ def bucket_classes(
     crowd = written(shared.join(lead, "bucket").select("bucket", "node", "n", "lead"), "crowd")
     dropped(shared)
     star = crowd.filter("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
-    links = written(verify(star), "links")
-    roots = written(connected(links), "roots")
+    links = kept(verify(star), "links")
+    stars = connected(links)
+    roots = written(stars, "roots")
+    dropped(stars)
     big = crowd.filter("n > 2")
     own = big.join(roots, big.node == roots.node, "left").select("bucket", big.node, "lead", F.coalesce("root", big.node).alias("cls"))
     of_lead = roots.select(F.col("node").alias("lead"), F.col("root").alias("lroot"))
@@ -75,20 +88,28 @@ def bucket_classes(
     left = written(own.join(mixed, "bucket").filter("node <> lead").select("bucket", "node", "cls", "lcls"), "mixed")
     dropped(crowd)
     if left.isEmpty():
+        dropped(left, links)
         return roots
     own = left.groupBy("node").agg(F.collect_list("bucket").alias("own"))  # as many as a node has buckets
-    can, fact = F.lit(True), []
+    can, fact = F.lit(True), [F.lit(0).alias("near")]
     rows = left.join(own, "node")
-    if facts is not None:
+    if facts is None:
+        rows = rows.withColumn("fact", F.lit(None).cast("int")).withColumn("size", F.lit(0))
+    else:
         rows = rows.join(facts(left.select("node").distinct()), "node")
-        can, fact = possible("x", "y"), [F.col("fact").alias("x")]
+        can, fact = possible("x", "y"), [F.col("fact").alias("x"), F.explode(F.array(*[F.col("size") + i for i in (-1, 0, 1)])).alias("near")]
     rows = written(rows, "mixed-facts")
     odd = rows.filter("cls <> lcls").select("bucket", F.col("node").alias("xn"), F.col("cls").alias("xc"), F.col("lcls").alias("xl"), F.col("own").alias("xown"), *fact)
     rest = rows.withColumnRenamed("fact", "y")
     differ = (F.col("cls") != F.col("xc")) & ((F.col("cls") == F.col("xl")) | (F.col("node") < F.col("xn")))
     once = F.array_min(F.array_intersect("own", "xown")) == odd.bucket  # a pair counts in the first bucket it shares
-    cross = odd.join(rest, (odd.bucket == rest.bucket) & differ & can & once).select(F.least("node", "xn").alias("a"), F.greatest("node", "xn").alias("b")).distinct()
-    more = written(verify(cross), "links")
-    out = roots if more.isEmpty() else written(connected(links.union(more)), "roots")
-    dropped(left, rows)
+    met = (odd.bucket == rest.bucket) & (F.col("near") == F.col("size")) & differ & can & once
+    cross = odd.join(rest, met).select(F.least("node", "xn").alias("a"), F.greatest("node", "xn").alias("b")).distinct()
+    more = kept(verify(cross), "links")
+    out = roots
+    if not more.isEmpty():
+        joined = connected(links.union(more))
+        out = written(joined, "roots")
+        dropped(joined, roots)
+    dropped(left, rows, links, more)
     return out

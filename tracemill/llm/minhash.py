@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .arrow import byte_chunks
 from .common import dropped, picked, shipped, with_row_id, written
-from .components import bucket_classes
+from .components import bucket_classes, size_class
 
 SHINGLE = 5
 BANDS, ROWS = 24, 5
@@ -197,8 +197,8 @@ def overlaps(pairs: DataFrame, rows: DataFrame, threshold: float = THRESHOLD) ->
     return both.mapInArrow(run, "a long, b long")
 
 
-def rare_facts(nodes: DataFrame, rows: DataFrame) -> DataFrame:
-    """node and fact (size: shingles, shared: those that stand in another of the nodes too, at most)."""
+def rare_facts(nodes: DataFrame, rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """node, fact (size: shingles, shared: those that stand in another of the nodes too, at most) and the class of its size."""
     ids = written(nodes.select(F.col("node").alias("_rid")), "nodes")
     texts = picked(rows, ids).select("_rid", flat_words(F.col("text")).alias("flat"))
 
@@ -216,7 +216,7 @@ def rare_facts(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     alone = each.groupBy("keys").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"), F.sum("counts").alias("c")).filter("n = 1")
     alone = alone.groupBy("node").agg(F.sum("c").alias("alone"))
     out = bags.select("node", "size").join(alone, "node", "left")
-    return out.select("node", F.struct("size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared")).alias("fact"))
+    return out.select("node", F.struct("size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared")).alias("fact"), size_class(F.col("size"), threshold).alias("size"))
 
 
 def byte_bags(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -242,7 +242,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, w
         most = F.least(f"{x}.shared", f"{y}.shared")
         return most * (1 + threshold) >= (F.col(f"{x}.size") + F.col(f"{y}.size")) * threshold - 1e-6
 
-    roots = bucket_classes(members, lambda pairs: overlaps(pairs, rows, threshold), lambda nodes: rare_facts(nodes, rows), possible)
+    roots = bucket_classes(members, lambda pairs: overlaps(pairs, rows, threshold), lambda nodes: rare_facts(nodes, rows, threshold), possible)
     copies = sigs.select("_rid", "print").join(firsts, "print").select("_rid", "first")
     owner = written(copies.join(roots, F.col("first") == F.col("node"), "left").select("_rid", F.coalesce("root", "first").alias("root")), "owners")
     dropped(sigs, roots)

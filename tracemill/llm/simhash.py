@@ -1,4 +1,4 @@
-"""SimHash with DataFrame functions: bit counters packed four to a long, summed by an ordinary aggregation."""
+"""SimHash inside a row, with DataFrame functions: bit counters packed four to a long, summed over an array of hashes."""
 
 from __future__ import annotations
 
@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 ONES = 0x0001000100010001
 TOPS = 0x2000200020002000
-#: Features counted in one packed counter at most; texts with more are summed in several segments.
+#: Features counted in one packed counter at most; larger arrays are counted bit by bit.
 SEGMENT = 8000
 
 
-def lanes(h: Column, name: str) -> list[Column]:
-    """16 sums of which each counts four bits of h, in 16 bits of a long each."""
-    return [F.sum(F.shiftrightunsigned(h, j).bitwiseAND(F.lit(ONES))).alias(f"{name}{j}") for j in range(16)]
+def lanes(hashes: str, name: str) -> list[Column]:
+    """16 sums over an array of longs, each of which counts four bits, in 16 bits of a long each."""
+    return [F.expr(f"aggregate({hashes}, 0L, (a, x) -> a + (shiftrightunsigned(x, {j}) & {ONES}L))").alias(f"{name}{j}") for j in range(16)]
 
 
 def majority(name: str, n: Column) -> Column:
@@ -26,32 +26,21 @@ def majority(name: str, n: Column) -> Column:
     return reduce(lambda x, y: x.bitwiseOR(y), bits)
 
 
-def _sums(features: DataFrame, keys: list[str]) -> DataFrame:
-    hashed = features.withColumn("_h1", F.xxhash64("_word")).withColumn("_h2", F.xxhash64("_word", F.lit(1)))
-    return hashed.groupBy(*keys).agg(*lanes(F.col("_h1"), "a"), *lanes(F.col("_h2"), "b"))
+def with_fingerprint(df: DataFrame, features: str, keep: list[str]) -> DataFrame:
+    """The columns keep, f1 and f2: the 128-bit SimHash of the array column `features` (strings or longs) of any length."""
+    few = f"case when size({features}) <= {SEGMENT} then {features} end"
+    hashed = df.select(
+        *keep, F.size(features).alias("_n"), F.expr(f"transform({few}, w -> xxhash64(w))").alias("_h1"), F.expr(f"transform({few}, w -> xxhash64(w, 1))").alias("_h2"),
+        *[F.expr(f"case when size({features}) > {SEGMENT} then {_bit_by_bit(features, salt)} end").alias(f"_long{i}") for i, salt in ((1, ""), (2, ", 1"))],
+    )
+    summed = hashed.select(*keep, "_n", "_long1", "_long2", *lanes("_h1", "_a"), *lanes("_h2", "_b"))
+    usual = [majority(name, F.least(F.col("_n"), F.lit(SEGMENT))) for name in ("_a", "_b")]
+    return summed.select(*keep, *[F.coalesce(f"_long{i}", usual[i - 1]).alias(f"f{i}") for i in (1, 2)])
 
 
-def fingerprints(features: DataFrame, keys: list[str], n: str) -> DataFrame:
-    """keys, f1 and f2: 128-bit SimHash of each group of features, of which there are SEGMENT at most.
-
-    features: keys (all of them functions of the group; n among them is the number of its features) and _word."""
-    return _sums(features, keys).select(*keys, majority("a", F.col(n)).alias("f1"), majority("b", F.col(n)).alias("f2"))
-
-
-def long_fingerprints(features: DataFrame, keys: list[str], n: str) -> DataFrame:
-    """The same for groups of any size. features has the number of the feature in its group as _at."""
-    part = _sums(features.withColumn("_seg", F.floor(F.col("_at") / SEGMENT).cast("int")), [*keys, "_seg"])
-    counts = [
-        F.sum(F.shiftrightunsigned(F.col(f"{name}{j}"), 16 * k).bitwiseAND(F.lit(0xFFFF))).alias(f"{name}{j}_{k}")
-        for name in "ab" for j in range(16) for k in range(4)
-    ]
-    summed = part.groupBy(*keys).agg(*counts)
-
-    def set_bits(name: str) -> Column:
-        bit = lambda j, k: F.when(F.col(f"{name}{j}_{k}") * 2 > F.col(n), F.shiftleft(F.lit(1).cast("long"), j + 16 * k)).otherwise(F.lit(0).cast("long"))
-        return reduce(lambda x, y: x.bitwiseOR(y), [bit(j, k) for j in range(16) for k in range(4)])
-
-    return summed.select(*keys, set_bits("a").alias("f1"), set_bits("b").alias("f2"))
+def _bit_by_bit(features: str, salt: str) -> str:
+    bit = f"size(filter({features}, w -> (shiftrightunsigned(xxhash64(w{salt}), j) & 1L) = 1L))"
+    return f"aggregate(sequence(0, 63), 0L, (a, j) -> a | case when 2 * {bit} > size({features}) then shiftleft(1L, j) else 0L end)"
 
 
 def distance(a1: str, a2: str, b1: str, b2: str) -> Column:
