@@ -188,10 +188,11 @@ def test_fingerprints_against_a_plain_count(spark):
     from tracemill.llm.simhash import with_fingerprint
 
     r = random.Random(1)
-    words = [[f"w{r.randrange(10 ** 6)}" for _ in range(n)] for n in (0, 1, 2, 7, 300, 8000, 8001, 20_000)]
+    words = [[f"w{r.randrange(10 ** 6)}" for _ in range(n)] for n in (0, 1, 2, 7, 63, 64, 300, 8191, 8192, 20_000)]
     df = spark.createDataFrame(list(enumerate(words)), "id int, words array<string>")
-    hashes = {x.id: (x.a, x.b) for x in df.selectExpr("id", "transform(words, w -> xxhash64(w)) as a", "transform(words, w -> xxhash64(w, 1)) as b").collect()}
-    for x in with_fingerprint(df, "words", ["id"]).collect():
+    df = df.selectExpr("id", "transform(words, w -> xxhash64(w)) as a")
+    hashes = {x.id: (x.a, x.b) for x in df.selectExpr("id", "a", "transform(a, w -> xxhash64(w, 1)) as b").collect()}
+    for x in with_fingerprint(df, "a", ["id"]).collect():
         for got, hs in zip((x.f1, x.f2), hashes[x.id]):
             want = sum(1 << j for j in range(64) if 2 * sum(h >> j & 1 for h in hs) > len(hs))
             assert got % (1 << 64) == want

@@ -52,7 +52,7 @@ def bucket_classes(
 ) -> DataFrame:
     """node and root of the components of all verified pairs that share a bucket; nodes without a link are left out.
 
-    members: long columns bucket, node; a node may be in many buckets. verify takes distinct pairs (a, b) and
+    members: long columns bucket, node; a node may be in many buckets, and rows may be repeated. verify takes distinct pairs (a, b) and
     returns those that hold.
 
     First every bucket is a star: its member with the most company is compared with the others. Then, only in
@@ -65,10 +65,12 @@ def bucket_classes(
     link; they spare the second step pairs, the sizes as a key of the join, so that they are not even listed.
 
     The result of verify may be a table made by written(); it is removed when it is no longer needed."""
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = written(members.join(sizes, "bucket"), "shared")
-    if shared.isEmpty():
-        return shared.select("node", F.col("node").alias("root"))
+    several = members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("bucket")
+    met = written(members.join(several, "bucket", "left_semi").distinct(), "met")
+    if met.isEmpty():
+        return met.select("node", F.col("node").alias("root"))
+    shared = written(met.join(met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket"), "shared")
+    dropped(met)
     company = shared.groupBy("node").agg(F.sum("n").alias("w"))
     ranked = shared.join(company, "node").select("bucket", "node", "n", F.col("w").cast("double").alias("w"))
     top = ranked.groupBy("bucket").agg(F.max("w").alias("w"))

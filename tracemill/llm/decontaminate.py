@@ -88,7 +88,7 @@ def windows(rows: DataFrame, items: DataFrame, similarity: float) -> DataFrame |
 
 def prints(texts: DataFrame, keys: list[str]) -> DataFrame:
     """keys, f1 and f2 of texts (keys, words)."""
-    return with_fingerprint(texts.select(*keys, F.expr(GRAMS).alias("grams")), "grams", keys)
+    return with_fingerprint(texts.select(*keys, F.expr(f"transform({GRAMS}, g -> xxhash64(g))").alias("grams")), "grams", keys)
 
 
 def near_values() -> Column:

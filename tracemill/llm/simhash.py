@@ -1,4 +1,4 @@
-"""SimHash inside a row, with DataFrame functions: bit counters packed four to a long, summed over an array of hashes."""
+"""SimHash inside a row, with DataFrame functions: bit counters packed several to a long, summed over an array of hashes."""
 
 from __future__ import annotations
 
@@ -7,40 +7,47 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ONES = 0x0001000100010001
-TOPS = 0x2000200020002000
-#: Features counted in one packed counter at most; larger arrays are counted bit by bit.
-SEGMENT = 8000
+#: Packed counters: bits of one, and the bit that a counter over half reaches. The sign bit stays free. Narrow ones need half as many sums.
+NARROW, WIDE = (8, 6), (16, 13)
+#: Features counted in narrow and in wide counters at most; larger arrays are counted bit by bit.
+FEW, SEGMENT = (1 << NARROW[1]) - 1, (1 << WIDE[1]) - 1
 
 
-def lanes(hashes: str, name: str) -> list[Column]:
-    """16 sums over an array of longs, each of which counts four bits, in 16 bits of a long each."""
-    return [F.expr(f"aggregate({hashes}, 0L, (a, x) -> a + (shiftrightunsigned(x, {j}) & {ONES}L))").alias(f"{name}{j}") for j in range(16)]
+def _ones(width: int) -> int:
+    return sum(1 << i for i in range(0, 64, width))
 
 
-def majority(name: str, n: Column) -> Column:
-    """64 bits: those that more than half of n features have set. n is at most SEGMENT."""
-    lift = (F.lit(0x1FFF) - F.shiftright(n.cast("long"), 1)) * F.lit(ONES)
-    over = [(F.col(f"{name}{j}") + lift).bitwiseAND(F.lit(TOPS)) for j in range(16)]
-    bits = [F.shiftrightunsigned(x, 13 - j) if j <= 13 else F.shiftleft(x, j - 13) for j, x in enumerate(over)]
+def _lanes(hashes: str, name: str, width: int) -> list[Column]:
+    """`width` sums over an array of longs; the j-th counts every width-th bit from bit j."""
+    return [F.expr(f"aggregate({hashes}, 0L, (a, x) -> a + (shiftrightunsigned(x, {j}) & {_ones(width)}L))").alias(f"{name}{j}") for j in range(width)]
+
+
+def _majority(name: str, n: Column, width: int, top: int) -> Column:
+    """64 bits: those that more than half of n features have set."""
+    lift = (F.lit((1 << top) - 1) - F.shiftright(n.cast("long"), 1)) * F.lit(_ones(width))
+    over = [(F.col(f"{name}{j}") + lift).bitwiseAND(F.lit(_ones(width) << top)) for j in range(width)]
+    bits = [F.shiftrightunsigned(x, top - j) if j <= top else F.shiftleft(x, j - top) for j, x in enumerate(over)]
     return reduce(lambda x, y: x.bitwiseOR(y), bits)
 
 
-def with_fingerprint(df: DataFrame, features: str, keep: list[str]) -> DataFrame:
-    """The columns keep, f1 and f2: the 128-bit SimHash of the array column `features` (strings or longs) of any length."""
-    few = f"case when size({features}) <= {SEGMENT} then {features} end"
-    hashed = df.select(
-        *keep, F.size(features).alias("_n"), F.expr(f"transform({few}, w -> xxhash64(w))").alias("_h1"), F.expr(f"transform({few}, w -> xxhash64(w, 1))").alias("_h2"),
-        *[F.expr(f"case when size({features}) > {SEGMENT} then {_bit_by_bit(features, salt)} end").alias(f"_long{i}") for i, salt in ((1, ""), (2, ", 1"))],
-    )
-    summed = hashed.select(*keep, "_n", "_long1", "_long2", *lanes("_h1", "_a"), *lanes("_h2", "_b"))
-    usual = [majority(name, F.least(F.col("_n"), F.lit(SEGMENT))) for name in ("_a", "_b")]
-    return summed.select(*keep, *[F.coalesce(f"_long{i}", usual[i - 1]).alias(f"f{i}") for i in (1, 2)])
+def _bit_by_bit(hashes: str) -> str:
+    bit = f"size(filter({hashes}, x -> (shiftrightunsigned(x, j) & 1L) = 1L))"
+    return f"aggregate(sequence(0, 63), 0L, (a, j) -> a | case when 2 * {bit} > size({hashes}) then shiftleft(1L, j) else 0L end)"
+
 
+def with_fingerprint(df: DataFrame, hashes: str, keep: list[str]) -> DataFrame:
+    """The columns keep, f1 and f2: the 128-bit SimHash of features, of which the array column `hashes` (of any length) holds 64-bit hashes.
 
-def _bit_by_bit(features: str, salt: str) -> str:
-    bit = f"size(filter({features}, w -> (shiftrightunsigned(xxhash64(w{salt}), j) & 1L) = 1L))"
-    return f"aggregate(sequence(0, 63), 0L, (a, j) -> a | case when 2 * {bit} > size({features}) then shiftleft(1L, j) else 0L end)"
+    The second half is made of a second hash of the first."""
+    n = F.size(hashes).alias("_n")
+    both = df.select(*keep, n, F.col(hashes).alias("_h1"), F.expr(f"transform({hashes}, x -> xxhash64(x, 1))").alias("_h2"))
+    kind = [f"_n <= {FEW}", f"_n > {FEW} and _n <= {SEGMENT}", f"_n > {SEGMENT}"]
+    part = [F.expr(f"case when {k} then _h{h} end").alias(f"_h{h}_{i}") for h in (1, 2) for i, k in enumerate(kind)]
+    parted = both.select(*keep, "_n", *part)
+    sums = [c for h in (1, 2) for c in (*_lanes(f"_h{h}_0", f"_a{h}_", NARROW[0]), *_lanes(f"_h{h}_1", f"_b{h}_", WIDE[0]), F.expr(f"case when _n > {SEGMENT} then {_bit_by_bit(f'_h{h}_2')} end").alias(f"_c{h}"))]
+    summed = parted.select(*keep, F.least(F.col("_n"), F.lit(FEW)).alias("_few"), F.least(F.col("_n"), F.lit(SEGMENT)).alias("_most"), *sums)
+    out = [F.coalesce(_majority(f"_a{h}_", F.col("_few"), *NARROW), _majority(f"_b{h}_", F.col("_most"), *WIDE), F.col(f"_c{h}")).alias(f"f{h}") for h in (1, 2)]
+    return summed.select(*keep, *out)
 
 
 def distance(a1: str, a2: str, b1: str, b2: str) -> Column:
