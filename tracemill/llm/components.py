@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from .common import dropped, kept, written
 
 
+#: Buckets of more rows are parted by the classes of their rows' sizes too.
+LARGE = 32
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """node and root (the smallest node of its component) for every node of edges (long columns a, b).
 
@@ -83,11 +87,11 @@ def bucket_classes(
     roots = written(stars, "roots")
     dropped(stars)
     big = crowd.filter("n > 2")
-    own = big.join(roots, big.node == roots.node, "left").select("bucket", big.node, "lead", F.coalesce("root", big.node).alias("cls"))
+    own = big.join(roots, big.node == roots.node, "left").select("bucket", big.node, "n", "lead", F.coalesce("root", big.node).alias("cls"))
     of_lead = roots.select(F.col("node").alias("lead"), F.col("root").alias("lroot"))
-    own = own.join(of_lead, "lead", "left").select("bucket", "node", "lead", "cls", F.coalesce("lroot", "lead").alias("lcls"))
+    own = own.join(of_lead, "lead", "left").select("bucket", "node", "n", "lead", "cls", F.coalesce("lroot", "lead").alias("lcls"))
     mixed = own.filter("cls <> lcls").groupBy("bucket").agg(F.count(F.lit(1)).alias("u"))
-    left = written(own.join(mixed, "bucket").filter("node <> lead").select("bucket", "node", "cls", "lcls"), "mixed")
+    left = written(own.join(mixed, "bucket").filter("node <> lead").select("bucket", "node", "n", "cls", "lcls"), "mixed")
     dropped(crowd)
     if left.isEmpty():
         dropped(left, links)
@@ -99,10 +103,11 @@ def bucket_classes(
         rows = rows.withColumn("fact", F.lit(None).cast("int")).withColumn("size", F.lit(0))
     else:
         rows = rows.join(facts(left.select("node").distinct()), "node")
-        can, fact = possible("x", "y"), [F.col("fact").alias("x"), F.explode(F.array(*[F.col("size") + i for i in (-1, 0, 1)])).alias("near")]
+        near = F.when(F.col("n") > LARGE, F.array(*[F.col("size") + i for i in (-1, 0, 1)])).otherwise(F.array(F.lit(0)))
+        can, fact = possible("x", "y"), [F.col("fact").alias("x"), F.explode(near).alias("near")]
     rows = written(rows, "mixed-facts")
     odd = rows.filter("cls <> lcls").select("bucket", F.col("node").alias("xn"), F.col("cls").alias("xc"), F.col("lcls").alias("xl"), F.col("own").alias("xown"), *fact)
-    rest = rows.withColumnRenamed("fact", "y")
+    rest = rows.withColumnRenamed("fact", "y").withColumn("size", F.when(F.col("n") > LARGE, F.col("size")).otherwise(F.lit(0))).drop("n")
     differ = (F.col("cls") != F.col("xc")) & ((F.col("cls") == F.col("xl")) | (F.col("node") < F.col("xn")))
     once = F.array_min(F.array_intersect("own", "xown")) == odd.bucket  # a pair counts in the first bucket it shares
     met = (odd.bucket == rest.bucket) & (F.col("near") == F.col("size")) & differ & can & once
