@@ -6,12 +6,18 @@ that the automaton allows is one phrase. The number of phrases per symbol estima
 of the text under the language; the language that needs fewest wins.
 
 Symbols are UTF-8 bytes, letters folded to lower case, each run of bytes that no letter uses folded to one
-separator. Parsing restarts every `block` symbols, so all blocks of many texts step through the
-automata side by side in numpy. Whole texts are parsed.
+separator. Whole texts are parsed. So that all blocks of many texts step through an automaton side by side in numpy, each
+block is first parsed as if a phrase began with it; the phrase that really crosses into it is then followed until both parses
+begin a phrase at the same symbol, from where they agree, and the counts are put right. Where that does not happen within a
+block, the next one is followed again from the state so found: the result is that of one parser running through the whole text.
+
+Every language with a labelled text takes part; the bytes learned of each shrink with their number, so that the tables of
+all automata together stay below a fixed size.
 
 Defined results: a null text, an empty one and one without a letter give `und` with score 0; if there is no
 labelled row at all, every text does. A tie goes to the language first in alphabetical order. Rows
-repeat as they repeat in the input; other columns of the input are ignored. A null id counts as held out.
+repeat as they repeat in the input; other columns of the input are ignored by identify() and kept by accepted(), whatever their names. A
+null id counts as held out. An empty table gives an empty one. Texts of any length are parsed in chunks of whole texts, in time that grows with their length.
 """
 
 from __future__ import annotations
@@ -29,10 +35,13 @@ from .common import held_out, shipped
 UND = "und"
 BREAK = np.uint32(1 << 31)
 
-#: Bounds of the training sample: texts per language, bytes taken of each text, languages.
+#: Bounds of the training sample: texts per language, bytes taken of each text, bytes of all languages together.
 DOCS_PER_LANG = 64
 BYTES_PER_DOC = 768
-MAX_LANGS = 200
+TOTAL_BYTES = 4 * DOCS_PER_LANG * BYTES_PER_DOC
+#: Symbols parsed side by side in one block, and bytes of text in one chunk of blocks.
+BLOCK = 256
+CHUNK = 1 << 20
 
 
 def fold_table() -> np.ndarray:
@@ -93,66 +102,90 @@ def suffix_automaton(symbols: bytes) -> list[dict[int, int]]:
     return nxt
 
 
+class Automaton:
+    """Transition table over the symbols of one language's sample."""
+
+    def __init__(self, text: bytes):
+        seen = sorted(set(text))
+        unknown, self.pad = len(seen), len(seen) + 1  # codes for symbols never seen, and for what follows a text's end
+        self.code = np.full(256, unknown, np.uint8)
+        self.code[seen] = np.arange(len(seen))
+        self.width = len(seen) + 2
+        nxt = suffix_automaton(text)
+        # One state more: no phrase goes on, so any symbol begins one. A symbol that no phrase can hold is a phrase alone.
+        self.idle = np.uint32(len(nxt) * self.width)
+        step = np.full((len(nxt) + 1, self.width), self.idle | BREAK, np.uint32)
+        for c, to in nxt[0].items():
+            step[:, self.code[c]] = np.uint32(to * self.width) | BREAK
+        for s, edges in enumerate(nxt):
+            for c, to in edges.items():
+                step[s, self.code[c]] = to * self.width
+        step[:, self.pad] = np.arange(len(nxt) + 1) * self.width
+        self.step = step.ravel()
+
+    def count(self, symbols: np.ndarray, starts: np.ndarray, lens: np.ndarray, follows: np.ndarray) -> np.ndarray:
+        """Phrases that begin in each block; a block follows the one before it, or begins a text."""
+        n, width = len(starts), int(lens.max(initial=0))
+        at = np.minimum(starts[None, :] + np.arange(width)[:, None], max(len(symbols) - 1, 0))
+        grid = self.code[symbols[at]] if len(symbols) else np.zeros((0, n), np.uint8)
+        grid[np.arange(width)[:, None] >= lens[None, :]] = self.pad
+        state = np.full(n, self.idle, np.uint32)
+        begins = np.zeros((width, n), bool)
+        for t in range(width):
+            x = self.step.take(state + grid[t])
+            begins[t] = x >> np.uint32(31)
+            state = x & ~BREAK
+        fresh, ends = begins.sum(axis=0), state
+        counts, exits = fresh.copy(), ends.copy()
+        todo = np.flatnonzero(follows)
+        while len(todo):
+            entry = exits[todo - 1]
+            live, cur = np.arange(len(todo)), entry.copy()
+            delta = np.zeros(len(todo), np.int64)
+            for t in range(width):
+                if not len(live):
+                    break
+                x = self.step.take(cur + grid[t, todo[live]])
+                here = (x >> np.uint32(31)).astype(bool)
+                was = begins[t, todo[live]]
+                delta[live] += here.astype(np.int64) - was
+                go = ~(here & was)
+                live, cur = live[go], (x & ~BREAK)[go]
+            out = ends[todo].copy()
+            out[live] = cur
+            counts[todo] = fresh[todo] + delta
+            changed = todo[out != exits[todo]]
+            exits[todo] = out
+            later = changed + 1
+            todo = later[(later < n)]
+            todo = todo[follows[todo]]
+        return counts
+
+
 class CrossParser:
-    """Parses texts against the automata of several languages at once."""
+    """Parses texts against the automata of several languages."""
 
     def __init__(self, samples: dict[str, list[bytes]]):
         self.langs = sorted(samples)
-        texts = {}
+        self.automata = []
         for lang in self.langs:
             raw = [np.frombuffer(x, np.uint8) for x in samples[lang]]
             ends = np.cumsum([0, *map(len, raw)])
-            texts[lang] = folded(np.concatenate(raw) if raw else np.zeros(0, np.uint8), ends)[0].tobytes()
-        seen = sorted(set(b"".join(texts.values())) | {0})
-        width = len(seen) + 2  # one code for symbols never seen, one for the padding after a text's end
-        self.code = np.full(256, len(seen), np.uint8)
-        self.code[seen] = np.arange(len(seen))
-        self.pad, rows, self.starts, base = len(seen) + 1, [], [], 0
-        for lang in self.langs:
-            nxt = suffix_automaton(texts[lang])
-            # One state more: no phrase goes on, so any symbol begins one. A symbol that no phrase can hold is a phrase alone.
-            idle = np.uint32((base + len(nxt)) * width)
-            step = np.full((len(nxt) + 1, width), idle | BREAK, np.uint32)
-            for c, to in nxt[0].items():
-                step[:, self.code[c]] = np.uint32((base + to) * width) | BREAK
-            for s, edges in enumerate(nxt):
-                for c, to in edges.items():
-                    step[s, self.code[c]] = (base + to) * width
-            step[:, self.pad] = (base + np.arange(len(nxt) + 1)) * width
-            rows.append(step)
-            self.starts.append(int(idle))
-            base += len(nxt) + 1
-        self.step = np.concatenate(rows).ravel() if rows else np.zeros(0, np.uint32)
-
-    def phrases(self, data: np.ndarray, offsets: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+            self.automata.append(Automaton(folded(np.concatenate(raw) if raw else np.zeros(0, np.uint8), ends)[0].tobytes()))
+
+    def phrases(self, data: np.ndarray, offsets: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
         """For each text the number of phrases by language, and its number of symbols."""
-        syms, at = folded(data, offsets)
-        codes = self.code[syms]
+        symbols, at = folded(data, offsets)
         sizes = np.diff(at)
         n_blocks = -(-sizes // block)
         owner = np.repeat(np.arange(len(sizes)), n_blocks)
-        first = np.cumsum(n_blocks) - n_blocks
-        starts = at[owner] + (np.arange(len(owner)) - first[owner]) * block
+        number = np.arange(len(owner)) - (np.cumsum(n_blocks) - n_blocks)[owner]
+        starts = at[owner] + number * block
         lens = np.minimum(at[owner + 1] - starts, block)
         total = np.zeros((len(self.langs), len(sizes)), np.int64)
-        codes = np.concatenate([codes, np.full(block, self.pad, np.uint8)])
-        order = np.argsort(-lens, kind="stable")
-        starts, lens, owner = starts[order], lens[order], owner[order]
-        grid = codes[starts[:, None] + np.arange(block)]  # blocks x symbols
-        grid[np.arange(block)[None, :] >= lens[:, None]] = self.pad
-        grid = np.ascontiguousarray(grid.T).astype(np.uint32)
-        active = np.searchsorted(-lens, -np.arange(1, block + 1), side="right")
-        for k, first_state in enumerate(self.starts):
-            state = np.full(len(starts), first_state, np.uint32)
-            count = np.zeros(len(starts), np.uint32)
-            for t in range(block):
-                n = active[t]
-                if not n:
-                    break
-                x = self.step.take(state[:n] + grid[t, :n])
-                count[:n] += x >> np.uint32(31)
-                np.bitwise_and(x, ~BREAK, out=state[:n])
-            total[k] = np.bincount(owner, weights=count, minlength=len(sizes)).astype(np.int64)
+        for k, a in enumerate(self.automata):
+            counts = a.count(symbols, starts, lens, number > 0)
+            total[k] = np.bincount(owner, weights=counts, minlength=len(sizes)).astype(np.int64)
         return total, sizes
 
 
@@ -168,31 +201,33 @@ def parser(samples: dict[str, list[bytes]]) -> CrossParser:
     return _parsers[key]
 
 
-def sample(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, bytes_per_doc: int = BYTES_PER_DOC, max_langs: int = MAX_LANGS) -> dict[str, list[bytes]]:
+def sample(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, bytes_per_doc: int = BYTES_PER_DOC, total_bytes: int = TOTAL_BYTES) -> dict[str, list[bytes]]:
     """Labelled texts that are not held out: of each language those with the smallest hashes of id and text.
 
-    At most docs_per_lang texts of a language, bytes_per_doc bytes of each, and the max_langs commonest languages."""
+    At most docs_per_lang texts of a language and bytes_per_doc bytes of each, from a place that the hash tells; fewer bytes if
+    all languages would have more than total_bytes."""
     rows = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each language
     if not counts:
         return {}
+    size = max(8, min(bytes_per_doc, total_bytes // (len(counts) * docs_per_lang)))
     scale = 1 << 30
     share = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(scale, scale * 8 * docs_per_lang // r.n + 1))])
     mark = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(scale))
     part = (
         rows.select("lang", mark.alias("mark"), "text").filter(F.col("mark") < F.element_at(share, F.col("lang")))
         .filter(F.col("text").rlike(r"\p{L}"))
-        .select("lang", "mark", F.substring("text", 1, bytes_per_doc).alias("part"))
+        .select("lang", "mark", F.expr(f"substring(text, 1 + cast(pmod(mark, greatest(length(text) - {size} + 1, 1)) as int), {size})").alias("part"))
     )
     out: dict[str, list[bytes]] = {}
     for r in sorted(part.distinct().collect(), key=lambda r: (r.lang, r.mark, r.part)):
         got = out.setdefault(r.lang, [])
         if len(got) < docs_per_lang:
-            got.append(r.part.encode()[:bytes_per_doc])
+            got.append(r.part.encode()[:size])
     return out
 
 
-def predict(docs: DataFrame, samples: dict[str, list[bytes]], keep: tuple[str, ...], block: int = 256, as_names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+def predict(docs: DataFrame, samples: dict[str, list[bytes]], keep: tuple[str, ...], as_names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """docs' columns `keep` with lang_pred and score (or as_names).
 
     score: 1 - fewest / second fewest phrases per symbol, scaled to 0..1 by a logistic curve; above 0.5 for
@@ -207,12 +242,12 @@ def predict(docs: DataFrame, samples: dict[str, list[bytes]], keep: tuple[str, .
         for batch in batches:
             best, score = [], []
             letter = batch.column(len(names) + 1).to_numpy(zero_copy_only=False)
-            for lo, hi, data, offsets in byte_chunks(batch.column(len(names))):
+            for lo, hi, data, offsets in byte_chunks(batch.column(len(names)), CHUNK):
                 if not p.langs:
                     best += [UND] * (hi - lo)
                     score += [0.0] * (hi - lo)
                     continue
-                counts, sizes = p.phrases(data, offsets, block)
+                counts, sizes = p.phrases(data, offsets)
                 rate = (counts / np.maximum(sizes, 1)).T
                 win = rate.argmin(axis=1)
                 low = np.sort(rate, axis=1)
