@@ -8,7 +8,10 @@ examples it covers leave, and the next rule is grown. The list becomes one order
 Words are runs of characters besides U+0020 and U+0009 to U+000D.
 
 Defined results: a null text has no words and fails the base rule, as has an empty one; without labelled rows the list is empty and
-the base rule decides alone; documents with contradicting or null labels teach nothing; repeated rows give equal rows.
+the base rule decides alone; documents with contradicting or null labels, and labels with a null id, teach nothing; repeated rows give equal rows,
+null and repeated ids come back as they are; of rules with the same gain the one first in the list of features, then of the lower threshold, is
+taken; an empty table gives an empty result; texts of any length are read whole in time that grows with their words (times its logarithm where
+windows repeat); other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,9 +38,8 @@ _GAP = SPACE_CLASS.replace("\\", "\\\\")
 
 def statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns keep and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), n_chars, n_lines, n_upper, n_marks, n_distinct of docs (text)."""
-    trimmed = F.expr(f"regexp_replace(coalesce(text, ''), '^[{_GAP}]+|[{_GAP}]+$', '')")
-    base = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_t"), trimmed.alias("_trim"))
-    words = F.expr(f"case when _trim = '' then cast(array() as array<string>) else split(_trim, '[{_GAP}]+') end")
+    base = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_t"))
+    words = F.expr(f"array_remove(split(_t, '[{_GAP}]+', -1), '')")
     lines = F.expr(f"filter(split(_t, '\\n', -1), x -> x rlike '[^{_GAP}]')")
     one = base.select(*keep, "_t", words.alias("_w"), lines.alias("_l"))
     refs = ", ".join(f"_w[i + {j}]" for j in range(WINDOW))
