@@ -13,7 +13,9 @@ single cased letters are not terms. A term
 at or over `threshold` is disclosing: wherever it stands in a line, it is a span of kind `term`, to be generalised or removed.
 
 Defined results: null and empty texts have no spans; base_sha256 is then that of the empty string; repeated rows count
-as documents of their own; a match that fails its test is dropped and not tried again from inside.
+as documents of their own; a match that fails its test is dropped and not tried again from inside; null and repeated ids come back as
+they are; two spans that begin at one place are listed by kind; an empty table gives an empty result; texts of any length are read whole,
+in time that grows with their length and with n log n of their n matches; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from .common import dropped, with_row_id, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 THRESHOLD = 0.9
-#: So many terms are broadcast at most; beyond, the join shuffles.
-BROADCAST_TERMS = 1_000_000
+#: So many ids or terms are broadcast at most (a term of a text is short: some 40 MB); beyond, the join shuffles.
+BROADCAST_ROWS = 1_000_000
 
 _LOCAL = r"[A-Za-z0-9._%+-]"
 PATTERNS = {
@@ -62,19 +64,23 @@ def valid(kind: str) -> str:
     return "true"
 
 
-def located(text: str, pattern: str, kind: int, test: str) -> str:
-    """SQL array of (start, kind, end, value): the matches of pattern in text that pass test, from the pieces between them."""
-    pieces, found = f"split({text}, {pattern}, -1)", f"regexp_extract_all({text}, {pattern}, 0)"
-    pairs = f"arrays_zip(slice({pieces}, 1, size({found})), {found})"
-    zero = "named_struct('at', 0, 'out', cast(array() as array<struct<start:int,kind:int,end:int,value:string>>))"
-    step = (
-        "(a, x) -> named_struct('at', a.at + length(x.`0`) + length(x.`1`), 'out', concat(a.out, array(named_struct("
-        f"'start', a.at + length(x.`0`), 'kind', {kind}, 'end', a.at + length(x.`0`) + length(x.`1`), 'value', x.`1`))))"
-    )
-    return f"filter(aggregate({pairs}, {zero}, {step}, a -> a.out), s -> exists(array(s.value), m -> {test}))"
+NO_SPANS = "cast(array() as array<struct<start:int,kind:int,end:int,value:string>>)"
 
 
-NO_SPANS = "cast(array() as array<struct<start:int,kind:int,end:int,value:string>>)"
+def running(array: str, step: str) -> str:
+    """SQL array of step(x, y) folded over every prefix of an array, in log2(size) rounds of which each doubles the reach."""
+    back = "shiftleft(1, k)"
+    once = f"transform(a, (x, i) -> case when i >= {back} then {step.format(x='x', y=f'get(a, i - {back})')} else x end)"
+    return f"aggregate(sequence(0, cast(ceil(log2(greatest(size({array}), 2))) as int)), {array}, (a, k) -> {once})"
+
+
+def located(text: str, pattern: str, kind: int, test: str) -> str:
+    """SQL array of (start, kind, end, value): the matches of pattern in text that pass test, from the pieces between them."""
+    both = f"named_struct('p', split({text}, {pattern}, -1), 'v', regexp_extract_all({text}, {pattern}, 0))"
+    ends = running("transform(z.v, (v, i) -> length(v) + length(get(z.p, i)))", "{x} + {y}")
+    spans = f"zip_with(z.v, {ends}, (v, e) -> named_struct('start', e - length(v), 'kind', {kind}, 'end', e, 'value', v))"
+    # The array of one binds what would otherwise be matched several times.
+    return f"filter(transform(array({both}), z -> case when size(z.v) = 0 then {NO_SPANS} else {spans} end)[0], s -> exists(array(s.value), m -> {test}))"
 
 
 def base_spans(text: str) -> Column:
@@ -91,55 +97,62 @@ def joined(spans: str) -> Column:
     return F.expr(f"array_join(transform({spans}, s -> concat(array({kinds})[s.kind], ':', s.start, ':', s.end)), ',')")
 
 
-def disclosing(rows: DataFrame, base: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame] | None:
-    """Where disclosing terms stand (_rid, line, term), and the terms with entity and risk; None if nothing is protected.
+WORDS = r"split(lower({0}), '[^\\p{{L}}\\p{{N}}]+')"
+
+
+def small(ids: DataFrame) -> DataFrame:
+    """ids, a written table of an id or a term a row, marked for broadcast if its rows are counted few."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
+def disclosing(rows: DataFrame, base: DataFrame, threshold: float = THRESHOLD) -> DataFrame | None:
+    """entity, term and risk of the terms that disclose, a written table; None if nothing is protected.
 
     rows: _rid, text; base: _rid, spans."""
-    held = base.filter("size(spans) > 0").select("_rid")
-    held = written(held, "holders")
-    few = held.count()
-    if not few:
+    held = written(base.filter("size(spans) > 0").select("_rid"), "holders")
+    if held.isEmpty():
+        dropped(held)
         return None
-    own = rows.join(F.broadcast(held) if few <= BROADCAST_TERMS else held, "_rid", "left_semi")
+    own = rows.join(small(held), "_rid", "left_semi")
     lines = own.select("_rid", F.explode(F.expr("split(text, '\\n', -1)")).alias("l")).select("_rid", "l", base_spans("l").alias("s")).filter("size(s) > 0")
-    terms = F.expr(r"array_distinct(filter(split(lower(array_join(transform(s, x -> x.value), ' ')), '[^\\p{L}\\p{N}]+'), w -> w <> ''))")
-    words = F.expr(r"array_distinct(filter(split(lower(l), '[^\\p{L}\\p{N}]+'), w -> w <> '' and not w rlike '^([0-9]+|[\\p{Lu}\\p{Ll}])$'))")
-    contexts = written(lines.select("_rid", F.expr("array_distinct(transform(s, x -> x.value))").alias("values"), F.array_except(words, terms).alias("terms")), "contexts")
-    n_c = contexts.select(F.explode("values").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
-    pairs = contexts.select("_rid", F.explode("values").alias("entity"), "terms").select("_rid", "entity", F.explode("terms").alias("term"))
-    joint = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct"))
-    joint = written(joint, "joint")
+    values = "array_join(transform(s, x -> x.value), ' ')"
+    terms = F.expr(f"filter({WORDS.format('l')}, w -> w <> '' and not w rlike '^([0-9]+|[\\\\p{{Lu}}\\\\p{{Ll}}])$')")
+    parts = F.expr(WORDS.format(values))  # what the entities themselves are made of
+    contexts = written(lines.select("_rid", F.expr("array_distinct(transform(s, x -> x.value))").alias("values"), F.array_except(terms, parts).alias("terms")), "contexts")
+    each = contexts.select(F.explode("values").alias("entity"), "terms")
+    n_c = each.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
+    joint = written(each.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct")), "joint")
     cand = written(joint.select("term").distinct(), "terms")
-    every = rows.select("_rid", F.posexplode(F.expr("split(text, '\\n', -1)")).alias("line", "l"))
-    total = rows.select(F.sum(F.expr("cast(size(split(coalesce(text, ''), '\\n', -1)) as bigint)")).alias("n")).first().n
-    found = every.select("_rid", "line", F.explode_outer(F.expr(r"array_distinct(split(lower(l), '[^\\p{L}\\p{N}]+'))")).alias("term"))
-    seen = written(found.join(F.broadcast(cand) if cand.count() <= BROADCAST_TERMS else cand, "term"), "seen")
-    n_t = seen.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    total = rows.select(F.sum(F.expr("cast(size(split(text, '\\n', -1)) as bigint)")).alias("n")).first().n
+    every = rows.select(F.explode(F.expr("split(text, '\\n', -1)")).alias("l")).select(F.explode_outer(F.expr(f"array_distinct({WORDS.format('l')})")).alias("term"))
+    few = cand.count() <= BROADCAST_ROWS
+    # Beyond the broadcast the words are counted before they meet the terms, so that a frequent one is no hot key.
+    n_t = (every.join(F.broadcast(cand), "term", "left_semi") if few else every).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     n = F.lit(float(total))
     risk = joint.join(n_c, "entity").join(n_t, "term").filter(F.col("n_c") < n)
     risk = risk.withColumn("risk", F.log(F.col("n_ct") * n / (F.col("n_c") * F.col("n_t"))) / F.log(n / F.col("n_c"))).filter(F.col("risk") >= threshold)
     risk = written(risk.select("entity", "term", "risk"), "risk")
-    bad = risk.select("term").distinct()
-    spots = seen.join(bad, "term", "left_semi").select("_rid", "term").distinct()
-    dropped(contexts, cand)
-    return spots, risk
+    dropped(held, contexts, joint, cand)
+    return risk
 
 
 def spans(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """_rid, doc_id, base and extra (arrays of start, kind, end, value; kind is a number in KINDS) of every row of docs."""
     rows = with_row_id(docs, keep=("doc_id", "text")).withColumn("text", F.coalesce("text", F.lit("")))
     base = written(rows.select("_rid", "doc_id", base_spans("text").alias("spans")), "base-spans")
-    got = disclosing(rows.select("_rid", "text"), base.select("_rid", "spans"), threshold)
+    risk = disclosing(rows.select("_rid", "text"), base.select("_rid", "spans"), threshold)
     none = F.expr(NO_SPANS)
-    if got is None:
+    if risk is None:
         return base.select("_rid", "doc_id", F.col("spans").alias("base"), none.alias("extra"))
-    spots = written(got[0], "spots")
-    ids = written(spots.select("_rid").distinct(), "spot-rows")
-    texts = rows.select("_rid", "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_TERMS else ids, "_rid", "left_semi")
-    pattern = r"concat('(?iu)(?<![\\p{L}\\p{N}])', term, '(?![\\p{L}\\p{N}])')"
-    each = texts.join(spots, "_rid").select("_rid", F.expr(located("text", pattern, 4, "true")).alias("s"))
-    extra = each.groupBy("_rid").agg(F.flatten(F.collect_list("s")).alias("extra"))
-    return base.join(extra, "_rid", "left").select("_rid", "doc_id", F.col("spans").alias("base"), F.coalesce("extra", none).alias("extra"))
+    bad = written(risk.select("term").distinct(), "bad-terms")
+    words = rows.select("_rid", F.explode_outer(F.expr(f"array_distinct({WORDS.format('text')})")).alias("term"))
+    # A term that discloses is rare: it stands in n_t <= n_c N^(1 - threshold) lines, so no term is a hot key here.
+    spots = written(words.join(small(bad), "term").groupBy("_rid").agg(F.collect_set("term").alias("terms")), "spots")
+    pattern = r"concat('(?iu)(?<![\\p{L}\\p{N}])(?:', array_join(terms, '|'), ')(?![\\p{L}\\p{N}])')"
+    extra = rows.select("_rid", "text").join(spots, "_rid").select("_rid", F.expr(located("text", pattern, 4, "true")).alias("extra"))
+    out = written(base.join(extra, "_rid", "left").select("_rid", "doc_id", F.col("spans").alias("base"), F.coalesce("extra", none).alias("extra")), "spans")
+    dropped(base, risk, bad, spots)
+    return out
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -154,12 +167,13 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def sanitised(docs: DataFrame, generalise: bool = True) -> DataFrame:
-    """doc_id and text of every row, each span replaced by its kind in brackets, or removed."""
+    """doc_id and text of every row; each run of overlapping spans is replaced by the kind of its first in brackets, or removed."""
     rows = with_row_id(docs, keep=("doc_id", "text"))
     got = spans(rows.select(F.col("_rid").alias("doc_id"), "text")).select(F.col("doc_id").alias("_rid"), F.array_sort(F.concat("base", "extra")).alias("every"))
+    reach = F.expr(running("transform(every, s -> s.end)", "greatest({x}, {y})"))
+    both = rows.join(got, "_rid").withColumn("reach", F.when(F.size("every") > 0, reach))
     put = "concat('[', array('EMAIL', 'IP', 'CARD', 'PHONE', 'TERM')[s.kind], ']')" if generalise else "''"
-    clean = F.expr(
-        f"aggregate(every, named_struct('at', 0, 'out', ''), (a, s) -> case when s.start < a.at then a else "
-        f"named_struct('at', s.end, 'out', concat(a.out, substring(text, a.at + 1, s.start - a.at), {put})) end, a -> concat(a.out, substring(text, a.at + 1, length(text))))"
-    )
-    return rows.join(got, "_rid").select("doc_id", F.when(F.col("text").isNull() | (F.size("every") == 0), F.col("text")).otherwise(clean).alias("text"))
+    last = "coalesce(get(reach, i - 1), 0)"
+    parts = f"transform(every, (s, i) -> case when i > 0 and s.start < {last} then '' else concat(substring(text, {last} + 1, s.start - {last}), {put}) end)"
+    clean = F.expr(f"concat(array_join({parts}, ''), substring(text, element_at(reach, -1) + 1, length(text)))")
+    return both.select("doc_id", F.when(F.col("text").isNull() | (F.size("every") == 0), F.col("text")).otherwise(clean).alias("text"))
