@@ -86,23 +86,52 @@ def test_languages_of_held_out_texts(spark, empty):
 
 
 def test_cross_parsing_against_a_plain_parser():
-    sample = {"x": [b"abracadabra and more"], "y": [b"simsalabim or less"]}
+    r = random.Random(2)
+    syllables = ["ab", "ra", "ca", "da", "bra", "sim", "sa", "la", "bim", " "]
+    some = lambda n: "".join(r.choice(syllables) for _ in range(n)).encode()
+    long = some(400)
+    sample = {"x": [b"abracadabra and more" + some(60)], "y": [b"simsalabim or less", long]}
     p = lang_id.CrossParser(sample)
-    text = b"abra sala dab zzz more"
-    counts, sizes = p.phrases(np.frombuffer(text, np.uint8), np.array([0, len(text)]), 1000)
-    for k, lang in enumerate(p.langs):
-        known, i, n = sample[lang][0].replace(b" ", b"\0"), 0, 0
-        t = text.replace(b" ", b"\0")
-        while i < len(t):
-            j = i + 1
-            while j < len(t) and t[i : j + 1] in known:
-                j += 1
-            i, n = j, n + 1
-        assert counts[k][0] == n
-    assert sizes[0] == len(text)
+    texts = [b"abra sala dab zzz more", long, long * 3, b"a" * 700, b"", some(900), b"zq" * 300]
+    data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    known = {}
+    for k in p.langs:
+        raw = [np.frombuffer(x, np.uint8) for x in sample[k]]
+        known[k] = lang_id.folded(np.concatenate(raw), np.cumsum([0, *map(len, raw)]))[0].tobytes()
+    for block in (5, 64, lang_id.BLOCK, 10_000):  # phrases cross blocks
+        counts, sizes = p.phrases(data, ends, block)
+        for k, lang in enumerate(p.langs):
+            for d, t in enumerate(texts):
+                t = lang_id.folded(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0].tobytes()
+                i = n = 0
+                while i < len(t):
+                    j = i + 1
+                    while j < len(t) and t[i : j + 1] in known[lang]:
+                        j += 1
+                    i, n = j, n + 1
+                assert counts[k][d] == n and sizes[d] == len(t), (block, lang, d)
+
+
+def test_many_languages_and_odd_rows(spark):
+    """More languages than one table of 32-bit states held before; null and repeated ids, very long texts, clashing names."""
+    r = random.Random(12)
+    alphabet = [chr(c) for c in range(0x561, 0x587)] + list("abcdefghijklmnopqrstuvwxyz")
+    parts = {f"l{k:03d}": ["".join(r.choice(alphabet) for _ in range(2)) for _ in range(6)] for k in range(150)}
+    text = lambda k, n: " ".join("".join(r.choice(parts[k]) for _ in range(3)) for _ in range(n))
+    rows = [(i, text(k, 30), k, "a") for i, k in enumerate(sorted(parts) * 4)] + [(None, text("l007", 40_000), "l007", "b"), (5, text("l009", 30), None, "c"), (5, text("l009", 30), None, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string")
+    samples = lang_id.sample(docs)
+    assert len(samples) == 150 and sum(len(x) for v in samples.values() for x in v) <= lang_id.TOTAL_BYTES
+    got = lang_id.identify(docs).collect()
+    assert len(got) == len(rows) and sum(x.lang_pred == "l009" for x in got if x.doc_id == 5) >= 2
+    assert [x.lang_pred for x in got if x.doc_id is None] == ["l007"]
+    assert lang_id.accepted(docs).columns == docs.columns
 
 
 def test_base_statistics_and_rules(spark, docs, texts, empty):
+    odd = ["hello \u0085", "a b \u2028", "a b \u2029", "one two \u0085", "\u0085 x", "a\u2028\nb\u2028\nb\u2028", " " * 1_000_000, "x" + " \t" * 400_000 + "y", "\x0b\x0c one \x1c two"]
+    texts = texts + odd
+    docs = docs.select("doc_id", "text", "root").union(spark.createDataFrame([(len(texts) - len(odd) + i, t, "r") for i, t in enumerate(odd)], "doc_id long, text string, root string"))
     got = {r.doc_id: r for r in quality.statistics(docs).collect()}
     for i, t in enumerate(texts):
         t = t or ""
