@@ -22,8 +22,12 @@ class GateError(ty.AdmissionError):
 _QUOTED = re.compile(r"""('(?:[^'\\]|''|\\.)*'|"(?:[^"]|"")*"|`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/)""", re.S)
 _PARAMETER = re.compile(r"\$([A-Za-z_][A-Za-z0-9_]*)")
 _SERIES = re.compile(r"\bgenerate_series\s*\(", re.I)
-#: Functions that reach outside of the bound relations.
-DENIED_FUNCTIONS = {"reflect", "java_method", "try_reflect", "input_file_name", "input_file_block_start", "input_file_block_length", "read_files", "sql", "version", "current_user", "user", "session_user"}
+#: Built-in functions may be called if they belong to one of these groups of Spark's registry, or are named besides. What
+#: reads files, the session or the machine, or runs other code, is in none of them.
+FUNCTION_GROUPS = {f"{g}_funcs" for g in "agg array bitwise collection conditional conversion csv date datetime generator hash json lambda map math predicate st string struct url variant window xml".split()} | {"operator", "operators"}
+FUNCTIONS_BESIDES = {"typeof", "equal_null", "uuid", "monotonically_increasing_id", "try_add"}
+FUNCTIONS_DENIED = {"read_files", "from_avro", "to_avro", "from_protobuf", "to_protobuf"}
+TABLE_FUNCTIONS = {"range", "explode", "posexplode", "inline", "stack"}
 ALLOWED_COMMANDS = {"DescribeRelation", "DescribeTableCommand", "ExplainCommand", "ShowTables", "ShowTablesCommand"}
 
 
@@ -86,9 +90,10 @@ def bind(sql: str, params: Mapping[str, object] | None) -> tuple[str, dict[str,
 def series(sql: str) -> str:
     """generate_series(a, b[, step]) as a subquery with the column value."""
     while m := _find_code(sql, _SERIES):
+        code = "".join(" " * len(p) if k % 2 else p for k, p in enumerate(_QUOTED.split(sql)))
         depth, i = 1, m[1]
-        while i < len(sql) and depth:
-            depth += {"(": 1, ")": -1}.get(sql[i], 0)
+        while i < len(code) and depth:
+            depth += {"(": 1, ")": -1}.get(code[i], 0)
             i += 1
         sql = f"{sql[: m[0]]}(SELECT explode(sequence({sql[m[1] : i - 1]})) AS value){sql[i:]}"
     return sql
@@ -128,59 +133,75 @@ def parsed(spark: SparkSession, sql: str):
             sessions.setActiveSession(before.get())
 
 
-def check(spark: SparkSession, sql: str, relations: set[str]) -> str:
-    """Simple class name of the statement's root, once it may pass; nothing is executed.
+def check_function(spark: SparkSession, name: str) -> None:
+    """Raises unless a function may be called."""
+    catalyst = spark._jvm.org.apache.spark.sql.catalyst
+    info = catalyst.analysis.FunctionRegistry.builtin().lookupFunction(catalyst.FunctionIdentifier(name))
+    group = info.get().getGroup() if info.isDefined() else None
+    if name in FUNCTIONS_DENIED or not (group in FUNCTION_GROUPS or name in FUNCTIONS_BESIDES):
+        raise GateError(f"function {name} is not allowed")
 
-    relations: names that may be read."""
+
+def check(spark: SparkSession, sql: str, relations: set[str]) -> tuple[str, set[str]]:
+    """Simple class name of the statement's root and the bound relations it reads, once it may pass; nothing is executed.
+
+    relations: names that may be read. The name of a WITH query counts only where it is in scope: in the queries after it
+    and in the one it belongs to, and in itself if it is recursive."""
     try:
         plan = parsed(spark, sql)
     except ParseException as e:
         raise GateError(f"not one readable statement: {str(e)[:300]}") from e
-    java = spark._jvm.java.lang.Class
-    classes = [java.forName(f"org.apache.spark.sql.catalyst.plans.logical.{c}", True, spark._jvm.Thread.currentThread().getContextClassLoader()) for c in ("Command", "ParsedStatement")]
-    tree = java.forName("org.apache.spark.sql.catalyst.plans.logical.LogicalPlan", True, spark._jvm.Thread.currentThread().getContextClassLoader())
-    seen: set[str] = set()
+    java, loader = spark._jvm.java.lang.Class, spark._jvm.Thread.currentThread().getContextClassLoader()
+    kind = lambda c: java.forName(f"org.apache.spark.sql.catalyst.plans.logical.{c}", True, loader)
+    commands, tree = [kind("Command"), kind("ParsedStatement")], kind("LogicalPlan")
     known = {r.lower() for r in relations}
-    aliases: set[str] = set()
-    wanted: list[str] = []
+    used: set[str] = set()
+    functions: set[str] = set()
 
-    def expressions(e) -> None:
+    def expressions(e, scope: frozenset) -> None:
         name = e.getClass().getSimpleName()
         if name == "UnresolvedFunction":
             called = [str(x).lower() for x in _scala(e.nameParts())]
-            if called[-1] in DENIED_FUNCTIONS:
-                raise GateError(f"function {called[-1]} is not allowed")
+            if len(called) > 1:
+                raise GateError(f"function {'.'.join(called)} is not allowed")
+            functions.add(called[0])
         if name in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
-            walk(e.plan())
+            walk(e.plan(), scope)
         for c in _scala(e.children()):
-            expressions(c)
+            expressions(c, scope)
         if name == "InSubquery":
-            expressions(e.query())
+            expressions(e.query(), scope)
 
-    def walk(p) -> None:
+    def walk(p, scope: frozenset) -> None:
         name = p.getClass().getSimpleName().rstrip("$")
-        seen.add(name)
-        if name not in ALLOWED_COMMANDS and any(c.isInstance(p) for c in classes):
+        if name not in ALLOWED_COMMANDS and any(c.isInstance(p) for c in commands):
             raise GateError(f"statement {name} is not read-only")
         if name == "UnresolvedWith":
             for cte in _scala(p.cteRelations()):
-                aliases.add(str(cte._1()).lower())
+                own = str(cte._1()).lower()
+                walk(cte._2(), scope | {own} if p.allowRecursion() else scope)
+                scope = scope | {own}
+            walk(p.child(), scope)
+            return
         if name in ("UnresolvedRelation", "UnresolvedTableOrView"):
-            wanted.append(".".join(str(x) for x in _scala(p.multipartIdentifier())).lower())
+            wanted = ".".join(str(x) for x in _scala(p.multipartIdentifier())).lower()
+            if wanted not in scope:
+                if wanted not in known:
+                    raise GateError(f"relation {wanted} is not bound")
+                used.add(wanted)
         if name == "UnresolvedTableValuedFunction":
             called = [str(x).lower() for x in _scala(p.name())]
-            if called[-1] not in ("range", "explode", "posexplode", "inline", "stack"):
+            if called[-1] not in TABLE_FUNCTIONS:
                 raise GateError(f"table function {called[-1]} is not allowed")
         for c in (*_scala(p.children()), *_scala(p.innerChildren())):
             if tree.isInstance(c):
-                walk(c)
+                walk(c, scope)
         for e in _scala(p.expressions()):
-            expressions(e)
+            expressions(e, scope)
         if name == "ExplainCommand":
-            walk(p.logicalPlan())
+            walk(p.logicalPlan(), scope)
 
-    walk(plan)
-    for w in wanted:
-        if w not in known and w not in aliases:
-            raise GateError(f"relation {w} is not bound")
-    return plan.getClass().getSimpleName().rstrip("$")
+    walk(plan, frozenset())
+    for f in sorted(functions):
+        check_function(spark, f)
+    return plan.getClass().getSimpleName().rstrip("$"), used

@@ -77,7 +77,7 @@ def run(session: SparkSession, text: str, args: dict, frames: dict[str, DataFram
         text = gate.qualified(text, schema, names)
     prefix = f"{schema}__" if schema else ""
     views = {f"{prefix}{n}" for n in names}
-    kind = gate.check(session, text, views | {"information_schema__tables", "information_schema__columns"})
+    kind, used = gate.check(session, text, views | {"information_schema__tables", "information_schema__columns"})
     every = {**frames, **({n: catalog.read(session, n) for n in catalog.tables} if catalog else {})}
     for n, f in every.items():
         f.createOrReplaceTempView(f"{prefix}{n}")
@@ -89,7 +89,7 @@ def run(session: SparkSession, text: str, args: dict, frames: dict[str, DataFram
         plan = gate.parsed(session, text)
         target = gate._scala(plan.children().head().multipartIdentifier())[-1].removeprefix(prefix)
         return session.createDataFrame([r for r in rows if r[1] == target], columns).select("column_name", "data_type", "is_nullable")
-    if "information_schema__" in text:
+    if any(u.startswith("information_schema__") for u in used):
         session.createDataFrame(rows, columns).createOrReplaceTempView("information_schema__columns")
         session.createDataFrame([(schema or "public", n) for n in sorted(every)], "table_schema string, table_name string").createOrReplaceTempView("information_schema__tables")
     out = session.sql(text, args=args) if args else session.sql(text)

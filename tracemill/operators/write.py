@@ -1,7 +1,12 @@
-"""Transactional writing of several relations: all of them are published together, or none."""
+"""Transactional writing of several relations: all of them are published together, or none.
+
+Rows are gathered in batches; one thread of the writer's own encodes and writes them. At most one batch waits for it, so a
+producer that is faster is held up at append().
+"""
 
 from __future__ import annotations
 
+import queue
 import shutil
 import threading
 import uuid
@@ -54,25 +59,67 @@ class Relation:
         self._parts += 1
         self._count += row_count(part)
 
+    def schema(self) -> pa.Schema:
+        """The declared columns as they stand in files."""
+        kinds = [ty.unwrapped(k) for k in self._columns.values()]
+        return pa.schema([pa.field(c, pa.int64() if t is ty.datetime else ty.LOGICAL[t][1], n) for c, (t, n) in zip(self._columns, kinds)])
+
     def _flush(self, last: bool = False) -> None:
         if not self._rows and not (last and not self._parts):
             return
-        kinds = [ty.unwrapped(k) for k in self._columns.values()]
-        schema = pa.schema([pa.field(c, pa.int64() if t is ty.datetime else ty.LOGICAL[t][1], n) for c, (t, n) in zip(self._columns, kinds)])
         at = self._owner._staging / f"{self._name}.parquet"
         at.mkdir(exist_ok=True)
-        pq.write_table(pa.Table.from_pylist([dict(zip(self._columns, r)) for r in self._rows], schema=schema), at / f"part-{self._parts:05d}.parquet")
+        self._owner._send((at / f"part-{self._parts:05d}.parquet", list(self._columns), self._rows, self.schema()))
         self._count += len(self._rows)
         self._parts += 1
         self._rows, self._bytes = [], 0
 
+    def _verify(self) -> None:
+        """Raises unless the footers hold the declared columns and the rows that were accepted."""
+        at = self._owner._staging / f"{self._name}.parquet"
+        want = [(f.name, f.type) for f in self.schema()]
+        for part in sorted(at.rglob("*.parquet")):
+            if part.is_file() and [(f.name, f.type) for f in pq.read_schema(part)] != want:
+                raise OSError(f"{self._name}: {part.name} does not hold the declared columns")
+        if row_count(at) != self._count:
+            raise OSError(f"{self._name}: the files do not hold the rows that were accepted")
+
 
 class Writer:
-    """One-shot context manager: NEW, ACTIVE, then COMMITTED or ABORTED. Only the thread that entered it may write."""
+    """One-shot context manager. Only the thread that entered it may write.
+
+    NEW, ACTIVE, DRAINING, COMMITTED; ABORTED after an error of the caller, FAILED after one of the writer itself."""
 
     def __init__(self, schema: Schema, destination: str | Path):
         self._schema, self._to, self._state = schema, Path(destination), "NEW"
         self._staging = self._to.parent / f".{self._to.name}-{uuid.uuid4().hex}"
+        self._batches: queue.Queue = queue.Queue(maxsize=1)
+        self._failure: BaseException | None = None
+
+    def _work(self) -> None:
+        while (job := self._batches.get()) is not None:
+            if self._failure is None:
+                path, names, rows, schema = job
+                try:
+                    pq.write_table(pa.Table.from_pylist([dict(zip(names, r)) for r in rows], schema=schema), path)
+                except Exception as e:  # told to the caller's thread
+                    self._failure = e
+
+    def _send(self, job: tuple) -> None:
+        while self._failure is None:
+            try:
+                return self._batches.put(job, timeout=0.05)
+            except queue.Full:
+                continue
+        self._state = "FAILED"
+        raise self._failure
+
+    def _finish(self) -> None:
+        """Waits until every batch is written."""
+        self._batches.put(None)
+        self._worker.join()
+        if self._failure is not None:
+            raise self._failure
 
     @property
     def state(self) -> str:
@@ -86,6 +133,8 @@ class Writer:
         self._staging.mkdir(parents=True)
         self._thread, self._state = threading.get_ident(), "ACTIVE"
         self._relations = {n: Relation(self, n, c) for n, c in self._schema.tables.items()}
+        self._worker = threading.Thread(target=self._work, daemon=True)
+        self._worker.start()
         return self
 
     def _check(self) -> None:
@@ -98,19 +147,30 @@ class Writer:
         self._check()
         return self._relations[name]
 
-    def __exit__(self, kind, *_) -> None:
-        self._check()
+    def __exit__(self, kind, error, _) -> None:
+        if self._state == "ACTIVE":
+            self._check()
         try:
-            if kind is None:
-                for name, r in self._relations.items():
+            if kind is None and self._state == "ACTIVE":
+                self._state = "DRAINING"
+                for r in self._relations.values():
                     r._flush(last=True)
-                    if row_count(self._staging / f"{name}.parquet") != r._count:
-                        raise OSError(f"{name}: the files do not hold the rows that were accepted")
+                self._finish()
+                for r in self._relations.values():
+                    r._verify()
                 publish(self._staging, self._to)
                 self._state = "COMMITTED"
+        except BaseException as e:
+            self._state = "FAILED"
+            e.add_note(f"nothing was published to {self._to}")
+            raise
         finally:
-            if self._state != "COMMITTED":
+            if self._state == "ACTIVE":
                 self._state = "ABORTED"
+                error.add_note(f"the transaction was aborted; nothing was published to {self._to}")
+            if self._worker.is_alive():
+                self._batches.put(None)
+                self._worker.join()
             shutil.rmtree(self._staging, ignore_errors=True)
 
 
