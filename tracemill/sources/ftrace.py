@@ -9,6 +9,7 @@ from __future__ import annotations
 import shutil
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -87,6 +88,12 @@ def read_header(lines: list[tuple[int, str]]) -> Header:
     return Header(tracer, tgid)
 
 
+def told() -> Column:
+    """Whether a comment (column value) is one that read_header looks at."""
+    words = ["tracer:", "delay", "TASK-PID", "CPU#", "TIMESTAMP", "FUNCTION", *LEGENDS]
+    return reduce(lambda x, y: x | y, [F.col("value").contains(w) for w in words])
+
+
 # What parses a field: SQL that is null for a text the type cannot hold. x is the text.
 I32 = "case when x rlike '^[+-]?[0-9]+$' then try_cast(x as int) end"
 U32 = "case when x rlike '^[+]?[0-9]+$' and try_cast(x as decimal(38,0)) <= 4294967295 then cast(x as bigint) end"
@@ -263,8 +270,10 @@ def decode(spark: SparkSession, source: str | Path, destination: str | Path, clo
         raise TraceError(f"line {broken + 1}: not UTF-8")
     comment = F.expr(r"regexp_replace(value, '^\\s+', '')").startswith("#")
     first = lines.filter(~comment).agg(F.min("n").alias("n")).first().n
-    early = lines.filter(comment & (F.col("n") < (first if first is not None else 1 << 62))).orderBy("n").limit(10_000).collect()
-    header = read_header([(r.n + 1, r.value) for r in early])
+    early = lines.filter(comment & (F.col("n") < (first if first is not None else 1 << 62)) & told())
+    # Of lines that say the same only the first two matter: the second of any kind is refused.
+    rank = F.row_number().over(Window.partitionBy(F.trim("value")).orderBy("n"))
+    header = read_header([(r.n + 1, r.value) for r in early.withColumn("k", rank).filter("k <= 2").orderBy("n").collect()])
     if first is None:
         raise TraceError("no event record")
     structured = F.col("value").contains("TASK-PID") | F.col("value").contains("=> irqs-off") | F.col("value").rlike(r"^\s*#+\s*tracer:")
