@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,17 +15,16 @@ def _ones(width: int) -> int:
     return sum(1 << i for i in range(0, 64, width))
 
 
-def _lanes(hashes: str, name: str, width: int) -> list[Column]:
-    """`width` sums over an array of longs; the j-th counts every width-th bit from bit j."""
-    return [F.expr(f"aggregate({hashes}, 0L, (a, x) -> a + (shiftrightunsigned(x, {j}) & {_ones(width)}L))").alias(f"{name}{j}") for j in range(width)]
-
+def _packed(hashes: str, width: int, top: int) -> str:
+    """SQL of the 64 majority bits: `width` sums over the hashes, the j-th of every width-th bit from bit j; a sum's counter over half sets its bit.
 
-def _majority(name: str, n: Column, width: int, top: int) -> Column:
-    """64 bits: those that more than half of n features have set."""
-    lift = (F.lit((1 << top) - 1) - F.shiftright(n.cast("long"), 1)) * F.lit(_ones(width))
-    over = [(F.col(f"{name}{j}") + lift).bitwiseAND(F.lit(_ones(width) << top)) for j in range(width)]
-    bits = [F.shiftrightunsigned(x, top - j) if j <= top else F.shiftleft(x, j - top) for j, x in enumerate(over)]
-    return reduce(lambda x, y: x.bitwiseOR(y), bits)
+    Everything is a function of arrays, so that the code generated for it stays small."""
+    ones = _ones(width)
+    sums = f"transform(sequence(0, {width - 1}), j -> aggregate({hashes}, 0L, (a, x) -> a + (shiftrightunsigned(x, j) & {ones}L)))"
+    lift = f"({(1 << top) - 1} - size({hashes}) div 2) * {ones}L"
+    over = f"((c + {lift}) & {ones << top}L)"
+    bits = f"aggregate(transform(s, (c, j) -> case when j <= {top} then shiftrightunsigned({over}, {top} - j) else shiftleft({over}, j - {top}) end), 0L, (a, x) -> a | x)"
+    return f"transform(array({sums}), s -> {bits})[0]"
 
 
 def _bit_by_bit(hashes: str) -> str:
@@ -35,19 +32,17 @@ def _bit_by_bit(hashes: str) -> str:
     return f"aggregate(sequence(0, 63), 0L, (a, j) -> a | case when 2 * {bit} > size({hashes}) then shiftleft(1L, j) else 0L end)"
 
 
+def fingerprint(hashes: str) -> str:
+    """SQL of the 64-bit SimHash of an array column of 64-bit hashes of any length."""
+    return f"case when size({hashes}) <= {FEW} then {_packed(hashes, *NARROW)} when size({hashes}) <= {SEGMENT} then {_packed(hashes, *WIDE)} else {_bit_by_bit(hashes)} end"
+
+
 def with_fingerprint(df: DataFrame, hashes: str, keep: list[str]) -> DataFrame:
-    """The columns keep, f1 and f2: the 128-bit SimHash of features, of which the array column `hashes` (of any length) holds 64-bit hashes.
+    """The columns keep, f1 and f2: the 128-bit SimHash of features, of which the array column `hashes` holds 64-bit hashes.
 
     The second half is made of a second hash of the first."""
-    n = F.size(hashes).alias("_n")
-    both = df.select(*keep, n, F.col(hashes).alias("_h1"), F.expr(f"transform({hashes}, x -> xxhash64(x, 1))").alias("_h2"))
-    kind = [f"_n <= {FEW}", f"_n > {FEW} and _n <= {SEGMENT}", f"_n > {SEGMENT}"]
-    part = [F.expr(f"case when {k} then _h{h} end").alias(f"_h{h}_{i}") for h in (1, 2) for i, k in enumerate(kind)]
-    parted = both.select(*keep, "_n", *part)
-    sums = [c for h in (1, 2) for c in (*_lanes(f"_h{h}_0", f"_a{h}_", NARROW[0]), *_lanes(f"_h{h}_1", f"_b{h}_", WIDE[0]), F.expr(f"case when _n > {SEGMENT} then {_bit_by_bit(f'_h{h}_2')} end").alias(f"_c{h}"))]
-    summed = parted.select(*keep, F.least(F.col("_n"), F.lit(FEW)).alias("_few"), F.least(F.col("_n"), F.lit(SEGMENT)).alias("_most"), *sums)
-    out = [F.coalesce(_majority(f"_a{h}_", F.col("_few"), *NARROW), _majority(f"_b{h}_", F.col("_most"), *WIDE), F.col(f"_c{h}")).alias(f"f{h}") for h in (1, 2)]
-    return summed.select(*keep, *out)
+    both = df.select(*keep, F.col(hashes).alias("_h1"), F.expr(f"transform({hashes}, x -> xxhash64(x, 1))").alias("_h2"))
+    return both.select(*keep, F.expr(fingerprint("_h1")).alias("f1"), F.expr(fingerprint("_h2")).alias("f2"))
 
 
 def distance(a1: str, a2: str, b1: str, b2: str) -> Column:
