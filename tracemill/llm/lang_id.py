@@ -41,7 +41,7 @@ BYTES_PER_DOC = 768
 TOTAL_BYTES = 4 * DOCS_PER_LANG * BYTES_PER_DOC
 #: Symbols parsed side by side in one block, and bytes of text in one chunk of blocks.
 BLOCK = 256
-CHUNK = 1 << 20
+CHUNK = 2 << 20
 
 
 def fold_table() -> np.ndarray:
@@ -126,38 +126,43 @@ class Automaton:
     def count(self, symbols: np.ndarray, starts: np.ndarray, lens: np.ndarray, follows: np.ndarray) -> np.ndarray:
         """Phrases that begin in each block; a block follows the one before it, or begins a text."""
         n, width = len(starts), int(lens.max(initial=0))
-        at = np.minimum(starts[None, :] + np.arange(width)[:, None], max(len(symbols) - 1, 0))
-        grid = self.code[symbols[at]] if len(symbols) else np.zeros((0, n), np.uint8)
-        grid[np.arange(width)[:, None] >= lens[None, :]] = self.pad
+        order = np.argsort(-lens, kind="stable")  # the longest first, so that those still running stand in front
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        sizes = lens[order]
+        active = np.searchsorted(-sizes, -np.arange(1, width + 1), side="right")
+        codes = np.concatenate([self.code[symbols], np.full(width, self.pad, np.uint8)])
+        grid = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(codes, max(width, 1))[starts[order]].T) if n else np.zeros((0, 0), np.uint8)
         state = np.full(n, self.idle, np.uint32)
         begins = np.zeros((width, n), bool)
         for t in range(width):
-            x = self.step.take(state + grid[t])
-            begins[t] = x >> np.uint32(31)
-            state = x & ~BREAK
-        fresh, ends = begins.sum(axis=0), state
+            k = active[t]
+            x = self.step.take(state[:k] + grid[t, :k])
+            np.greater_equal(x, BREAK, out=begins[t, :k])
+            np.bitwise_and(x, ~BREAK, out=state[:k])
+        fresh, ends = begins.sum(axis=0)[place], state[place]
         counts, exits = fresh.copy(), ends.copy()
         todo = np.flatnonzero(follows)
         while len(todo):
-            entry = exits[todo - 1]
-            live, cur = np.arange(len(todo)), entry.copy()
+            live, cur, col = np.arange(len(todo)), exits[todo - 1], place[todo]
             delta = np.zeros(len(todo), np.int64)
             for t in range(width):
+                inside = lens[todo[live]] > t
+                if not inside.all():  # the last block of a text ends
+                    live, cur, col = live[inside], cur[inside], col[inside]
                 if not len(live):
                     break
-                x = self.step.take(cur + grid[t, todo[live]])
-                here = (x >> np.uint32(31)).astype(bool)
-                was = begins[t, todo[live]]
+                x = self.step.take(cur + grid[t, col])
+                here, was = x >= BREAK, begins[t, col]
                 delta[live] += here.astype(np.int64) - was
                 go = ~(here & was)
-                live, cur = live[go], (x & ~BREAK)[go]
+                live, cur, col = live[go], (x & ~BREAK)[go], col[go]
             out = ends[todo].copy()
             out[live] = cur
             counts[todo] = fresh[todo] + delta
             changed = todo[out != exits[todo]]
             exits[todo] = out
-            later = changed + 1
-            todo = later[(later < n)]
+            todo = changed[changed + 1 < n] + 1
             todo = todo[follows[todo]]
         return counts
 
