@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from .common import dropped, kept, written
 
 
+#: So many bucket numbers (one long each, 16 MB) are broadcast at most; beyond, the join shuffles.
+BROADCAST_BUCKETS = 2_000_000
 #: Buckets of more rows are parted by the classes of their rows' sizes too.
 LARGE = 32
 
@@ -69,8 +71,10 @@ def bucket_classes(
     link; they spare the second step pairs, the sizes as a key of the join, so that they are not even listed.
 
     The result of verify may be a table made by written(); it is removed when it is no longer needed."""
-    several = members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("bucket")
-    met = written(members.join(several, "bucket", "left_semi").distinct(), "met")
+    several = written(members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("bucket"), "several")
+    few = several.count() <= BROADCAST_BUCKETS
+    met = written(members.join(F.broadcast(several) if few else several, "bucket", "left_semi").distinct(), "met")
+    dropped(several)
     if met.isEmpty():
         return met.select("node", F.col("node").alias("root"))
     shared = written(met.join(met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket"), "shared")
