@@ -41,7 +41,7 @@ BYTES_PER_DOC = 768
 TOTAL_BYTES = 4 * DOCS_PER_LANG * BYTES_PER_DOC
 #: Symbols parsed side by side in one block, and bytes of text in one chunk of blocks.
 BLOCK = 256
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 
 def fold_table() -> np.ndarray:
