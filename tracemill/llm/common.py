@@ -18,15 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows and bytes of text that Spark hands to a Python worker at once, at most (one row may be larger).
+#: Rows and bytes of text that Spark hands to a Python worker at once, at most (one row may be larger), unless the application sets its own.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 
 def shipped(spark: SparkSession) -> None:
     """Sends this package to the executors once for each Spark application, for those without it on their path, and bounds the batches they get."""
     for key, most in BATCH.items():
-        got = str(spark.conf.get(key, "0"))
-        if not (got.isdigit() and 0 < int(got) <= most):
+        if not spark.sparkContext.getConf().contains(key):
             spark.conf.set(key, str(most))
     sc = spark.sparkContext
     if getattr(sc, "_tracemill_shipped", False):
