@@ -236,3 +236,90 @@ def test_url_verdicts(spark):
 def test_pipeline(spark, tmp_path):
     cp = pytest.importorskip("corpus_pipeline")
     assert [n for n, _ in cp.STAGES] == ["language_id", "line_dedup", "near_dedup", "decontamination", "byte_bpe"]
+
+
+def test_disclosing_terms_against_brute_force(spark):
+    """Counts, PMI / IC and the spans of all terms over the threshold, from plain loops over the lines."""
+    import math
+
+    r = random.Random(31)
+    vocabulary = [f"word{i}" for i in range(40)] + ["Ärger", "x", "12", "of"]
+    people = [f"p{i}@mail.example" for i in range(5)] + ["10.0.0.1"]
+    texts = []
+    for i in range(60):
+        lines = [" ".join(r.choice(vocabulary) for _ in range(r.randrange(0, 7))) for _ in range(r.randrange(1, 5))]
+        if i % 4 == 0:
+            k = r.randrange(len(people))
+            lines.append(f"{people[k]} nick{k} {r.choice(vocabulary)} only{i}")
+        texts.append("\n".join(lines))
+    texts += [None, "", texts[0], texts[0]]
+    docs = spark.createDataFrame([(None if i == 3 else i // 2, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, term string")
+    tokens = lambda s: re.findall(r"[^\W_]+", s.lower())
+    lines = [x for t in texts for x in (t or "").split("\n")]
+    n = len(lines)
+    held = lambda s: {m[0] for k, p in BASE[:2] for m in re.finditer(p, s)}
+    n_c, n_ct, n_t = Counter(), Counter(), Counter()
+    for s in lines:
+        own = held(s)
+        n_t.update(set(tokens(s)))
+        terms = {w for w in tokens(s) if not re.fullmatch(r"[0-9]+|[a-zä]", w)} - set(tokens(" ".join(own)))
+        n_c.update(own)
+        n_ct.update((c, w) for c in own for w in terms)
+    bad = {w for (c, w), k in n_ct.items() if math.log(k * n / (n_c[c] * n_t[w])) / math.log(n / n_c[c]) >= pii.THRESHOLD}
+    assert any(w.startswith("nick") for w in bad) and any(w.startswith("only") for w in bad) and not any(w.startswith("word") for w in bad)
+    want = []
+    for t in texts:
+        spans = [(m.start(), k, m.end()) for k, (_, p) in enumerate(BASE[:2]) for m in re.finditer(p, t or "")]
+        spans += [(m.start(), 4, m.end()) for m in re.finditer(r"[^\W_]+", t or "") if m[0].lower() in bad]
+        want.append(",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans)))
+    assert sorted(x.spans for x in pii.digests(docs).collect()) == sorted(want)
+    got = [x.text for x in pii.sanitised(docs).collect() if x.text]
+    assert not any(w in tokens(x) for x in got for w in bad) and any("[TERM]" in x for x in got)
+
+
+def test_many_matches_in_a_text(spark):
+    """Twenty thousand addresses in one text: positions by running sums, as a plain search finds them."""
+    text = " ".join(f"u{i}@h{i % 7}.example" for i in range(20_000))
+    got = pii.spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [(s.start, s.end) for s in got.base] == [m.span() for m in re.finditer(BASE[0][1], text)]
+
+
+def test_strange_and_empty_tables(strange, empty, docs, spark):
+    """Null and repeated ids, repeated rows and clashing names: a row for each row, with the ids as they came; nothing of nothing."""
+    ids = sorted(str(x.doc_id) for x in strange.select("doc_id").collect())
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic", "cast(doc_id % 2 as int) as quality")
+    rules, model = quality.fit(docs, labels), toxicity.fit(docs, labels)
+    for run in (lambda d: quality.judged(d, rules), pii.digests, lambda d: toxicity.score(d, model), lambda d: bpe.digests(d, PATH), lang_id.identify):
+        assert sorted(str(x.doc_id) for x in run(strange).collect()) == ids and run(empty).count() == 0
+    whole = packing.packed(strange, PATH, row_tokens=512).collect()
+    assert sum(x.n_tokens for x in whole) == sum(x.n_tokens for x in bpe.digests(strange, PATH).collect())
+
+
+def test_pipeline_runs(spark, docs, strange, empty, words, tmp_path):
+    """Every stage on what the one before kept: columns stay, clean documents stay, copies and passages go; also on odd and empty tables."""
+    cp = pytest.importorskip("corpus_pipeline")
+    passage = " ".join(words[:50])
+    more = docs.union(spark.createDataFrame([(500, "before it " + passage + " and after", "en", "s", 1, "r")], docs.schema))
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    for name, table in (("plain", more), ("odd", strange), ("none", empty)):
+        table.write.parquet(str(tmp_path / name / "documents.parquet"))
+        bench.write.parquet(str(tmp_path / name / "benchmark.parquet"))
+    seen = {}
+    for name in ("plain", "odd", "none"):
+        kept = spark.read.parquet(str(tmp_path / name / "documents.parquet"))
+        for k, (stage, f) in enumerate(cp.STAGES):
+            kept = f(spark, kept, str(tmp_path / name))
+            if k < len(cp.STAGES) - 1:
+                assert kept.columns == docs.columns
+            kept.write.parquet(str(tmp_path / name / stage))
+            kept = spark.read.parquet(str(tmp_path / name / stage))
+            seen[name, stage] = kept.collect()
+    ids = lambda stage: {x.doc_id for x in seen["plain", stage]}
+    assert 500 in ids("near_dedup") and 500 not in ids("decontamination") and set(range(8)) <= ids("byte_bpe")
+    assert not set(range(24, 29)) & ids("near_dedup")  # the exact copies of 0 to 4
+    enc = bpe.encoder(PATH)
+    for x in seen["plain", "decontamination"]:
+        got = next(y for y in seen["plain", "byte_bpe"] if y.doc_id == x.doc_id)
+        assert got.n_tokens == len(enc.encode(x.text)[0]) and got.decoded_sha256 == hashlib.sha256(x.text.encode()).hexdigest()
+    assert not seen["none", "byte_bpe"]
+    assert sorted(x.n_tokens for x in cp.run(spark, str(tmp_path / "plain")).collect()) == sorted(x.n_tokens for x in seen["plain", "byte_bpe"])
