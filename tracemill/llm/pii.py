@@ -149,12 +149,14 @@ def spans(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # A term that discloses is rare: it stands in n_t <= n_c N^(1 - threshold) lines, so no term is a hot key here.
     spots = written(words.join(small(bad), "term").groupBy("_rid").agg(F.collect_set("term").alias("terms")), "spots")
     pattern = r"concat('(?iu)(?<![\\p{L}\\p{N}])(?:', array_join(terms, '|'), ')(?![\\p{L}\\p{N}])')"
-    # Only the texts with such a term are moved to meet their terms.
-    ids = written(spots.select("_rid"), "spot-rows")
-    texts = rows.select("_rid", "text").join(small(ids), "_rid", "left_semi")
-    extra = texts.join(spots, "_rid").select("_rid", F.expr(located("text", pattern, 4, "true")).alias("extra"))
+    if (spots.agg(F.sum(F.size("terms"))).first()[0] or 0) <= BROADCAST_ROWS:
+        ids, texts, near = None, rows.select("_rid", "text"), F.broadcast(spots)
+    else:  # only the texts with such a term are moved to meet their terms
+        ids = written(spots.select("_rid"), "spot-rows")
+        texts, near = rows.select("_rid", "text").join(small(ids), "_rid", "left_semi"), spots
+    extra = texts.join(near, "_rid").select("_rid", F.expr(located("text", pattern, 4, "true")).alias("extra"))
     out = written(base.join(extra, "_rid", "left").select("_rid", "doc_id", F.col("spans").alias("base"), F.coalesce("extra", none).alias("extra")), "spans")
-    dropped(base, risk, bad, spots, ids)
+    dropped(base, risk, bad, spots, *([ids] if ids is not None else []))
     return out
 
 
