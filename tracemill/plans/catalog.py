@@ -141,10 +141,6 @@ TWO = {
         "SELECT n_regionkey AS r, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey", None,
     ),
     "explode_array": (
-        "SELECT vec_id, p AS at, x FROM embeddings LATERAL VIEW posexplode(embedding) e AS p, x WHERE vec_id < 20",
-        "SELECT vec_id, CAST(i - 1 AS INTEGER) AS at, x FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id < 20)", None,
-    ),
-    "explode_array_all": (
         "SELECT vec_id, p AS at, x FROM embeddings LATERAL VIEW posexplode(embedding) e AS p, x",
         "SELECT vec_id, CAST(i - 1 AS INTEGER) AS at, x FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)", None,
     ),
