@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from tracemill.llm import bpe, lang_id, packing, pii, quality, toxicity, url_filter
 
@@ -214,7 +215,7 @@ def test_toxic_texts(spark, words, empty):
     assert {x.score for x in none} == {0.0}
     flat = model.index.transpose(1, 0, 2).reshape(model.index.shape[1], -1)
     for i in test[:25]:  # the pruned search against all cosines
-        at, v = model.vector(toxicity.WORD.findall(rows[i][1]))
+        at, v = model.vector(Counter(w for w in toxicity.WORD.findall(rows[i][1]) if w in model.terms))
         if len(at):
             cos = np.round(v @ flat[at], 9)
             want = sorted(((-c, k) for k, c in enumerate(cos.tolist()) if c > 0))[: toxicity.K]
@@ -222,6 +223,18 @@ def test_toxic_texts(spark, words, empty):
             assert [round(c, 5) for c, _ in near] == [round(-c, 5) for c, _ in want]
 
 
+def test_terms_are_counted_as_whole_words(spark):
+    terms = ["ab", "abc", "bc", "é", "b½", "Ⅷ".lower(), "σας"]
+    count = toxicity.Terms(terms).count
+    texts = ["ab abc bc", "AB,abcab_ab9ab", "xab abx", "É é éé e", "b½ b ½", "Ⅷ ⅷ1", "ΣΑΣ ΣΑΣ.", "", " ", "ab" * 1000 + " ab", "bc\u00a0ab\x1cabc\u2028bc"]
+    for t in texts:
+        assert count(t) == Counter(w for w in toxicity.WORD.findall(t.lower()) if w in terms), t
+    assert toxicity.Terms([]).count("ab") == Counter()
+    odd = "½²Ⅷ〇٣9_-é\u0301ßñ日ª\u200bΩ"  # the sample is split on the JVM, texts in Python
+    split = spark.createDataFrame([("a".join(odd),)], "t string").select(F.split("t", toxicity.WORD_JVM)).first()[0]
+    assert [w for w in split if w] == toxicity.WORD.findall("a".join(odd))
+
+
 def test_url_verdicts(spark):
     captures = [(1, "https://a.bad.org/x", "2024-02-01"), (2, "http://user@a.bad.org:80/", "2024-05-01"), (3, "http://bad.org./", "2024-05-01"), (4, "nonsense", "2024-05-01"), (5, None, "2024-05-01"), (6, "https://notbad.org", "2024-05-01"), (7, "https://bad.org", None), (2, "http://a.bad.org", "2023-01-01")]
     entries = [("bad.org", "2024-01-01", "block"), ("bad.org", "2024-04-01", "clear"), ("a.bad.org", "2024-04-15", "allow"), ("a.bad.org", "2024-04-15", "block"), (None, "2024-01-01", "block"), ("x.org", None, "block")]

@@ -1,6 +1,6 @@
 """Toxicity from the nearest labelled examples.
 
-Terms are lower-case words of letters. Those whose presence depends on the label (log-likelihood ratio of at least
+Terms are lower-case words of letters and of numerals other than decimal digits. Those whose presence depends on the label (log-likelihood ratio of at least
 MIN_G2 over the training sample) make the vocabulary. Texts are TF-IDF vectors (1 + log tf, idf over the sample,
 unit length); the K examples of highest cosine vote with the square of the cosine as weight; a logistic curve fitted to
 leave-one-out votes of the examples calibrates the score.
@@ -11,7 +11,9 @@ their bounds until the next bound is below the K-th best cosine.
 
 Defined results: null and empty texts and texts without a vocabulary term have no neighbours and get the calibrated
 base rate; without labelled rows the score is 0; rows of `labels` with a null label, and documents
-with contradicting labels, teach nothing; ties go to the example first in the index; a null id counts as held out.
+with contradicting labels, teach nothing; ties go to the example first in the index; a null id counts as held out; repeated
+rows are scored alike, each on its own; an empty table gives no rows; texts of any length are scored whole; columns other than
+doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,7 +41,7 @@ K = 25
 BLOCK = 64
 
 WORD = re.compile(r"[^\W\d_]+")
-WORD_JVM = r"[^\p{L}]+"
+WORD_JVM = r"[^\p{L}\p{Nl}\p{No}]+"  # what WORD leaves out
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS, label: str = "toxic") -> DataFrame:
@@ -73,8 +76,8 @@ class Model:
     offset: float
     prior: float
 
-    def vector(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        got = Counter(w for w in words if w in self.terms)
+    def vector(self, got: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and weights of counted terms."""
         at = np.array([self.terms[w][0] for w in sorted(got)], np.int64)
         v = np.array([(1 + np.log(got[w])) * self.terms[w][1] for w in sorted(got)])
         size = np.sqrt((v * v).sum())
@@ -106,6 +109,27 @@ class Model:
         return float(1 / (1 + np.exp(-(self.slope * vote + self.offset))))
 
 
+class Terms:
+    """Counts the vocabulary's terms in texts: one pass of an automaton of all terms finds them, of which whole words count."""
+
+    def __init__(self, terms):
+        self.found = ahocorasick.Automaton()
+        for w in terms:
+            self.found.add_word(w, w)
+        self.found.make_automaton()
+
+    def count(self, text: str) -> Counter:
+        text = text.lower()
+        got: Counter = Counter()
+        if not len(self.found):
+            return got
+        for last, w in self.found.iter(text):
+            first = last - len(w)
+            if not (first >= 0 and WORD.match(text, first)) and not WORD.match(text, last + 1):
+                got[w] += 1
+        return got
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     rows = training_rows(docs, labels)
     flat = F.filter(F.split(F.lower("text"), WORD_JVM), lambda w: w != "")
@@ -128,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     got = sorted(got, key=lambda r: (-r.y, r.words[0] if r.words else "", r.mark, str(r.doc_id)))[: 2 * EXAMPLES]
     blocks = -(-max(len(got), 1) // BLOCK)
     m = Model(terms, np.zeros((blocks, max(len(terms), 1), BLOCK), np.float32), np.zeros((max(len(terms), 1), blocks), np.float32), np.array([r.y for r in got], np.int8), 1.0, 0.0, base)
-    vectors = [m.vector(r.words) for r in got]
+    vectors = [m.vector(Counter(r.words)) for r in got]
     for i, (at, v) in enumerate(vectors):
         m.index[i // BLOCK, at, i % BLOCK] = v
     m.tops[:] = m.index.max(axis=2).T
@@ -162,6 +186,7 @@ def score(docs: DataFrame, model: Model | None, evidence: bool = False) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
+        terms = Terms(m.terms) if m else None
         for batch in batches:
             out, why = [], []
             for text in batch.column(2).to_pylist():
@@ -169,7 +194,7 @@ def score(docs: DataFrame, model: Model | None, evidence: bool = False) -> DataF
                     out.append(0.0)
                     why.append([])
                     continue
-                near = m.neighbours(*m.vector(WORD.findall(text.lower()))) if text else []
+                near = m.neighbours(*m.vector(terms.count(text))) if text else []
                 out.append(m.score(m.vote(near)))
                 why.append([{"cosine": c, "label": int(m.y[i])} for c, i in near])
             cols = [batch.column(0), batch.column(1), pa.array(out, pa.float64()), pa.array([int(s >= 0.5) for s in out], pa.int32())]
