@@ -94,7 +94,7 @@ class Model:
             if bound[order[lo]] <= 0 or (len(best) == k and bound[order[lo]] < -best[-1][0] - 1e-6):
                 break
             some = order[lo : lo + 8]
-            cos = np.round(np.einsum("t,btx->bx", v, self.index[some][:, at, :]), 9)
+            cos = np.round(v @ self.index[some[:, None], at], 9)
             floor = -best[-1][0] if len(best) == k else 1e-9
             b, x = np.nonzero(cos >= floor)
             ids = some[b] * BLOCK + x
