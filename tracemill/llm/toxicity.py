@@ -23,7 +23,6 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -89,17 +88,25 @@ class Model:
             return []
         bound = v @ self.tops[at]
         order = np.argsort(-bound, kind="stable")
-        best: list[tuple[float, int]] = []
-        for lo in range(0, len(order), 8):
-            if bound[order[lo]] <= 0 or (len(best) == k and bound[order[lo]] < -best[-1][0] - 1e-6):
+        bound = bound[order]
+        cos, ids, floor = np.empty(0), np.empty(0, np.int64), 1e-9
+        lo, step = 0, 8
+        while lo < len(order):
+            hi = min(lo + step, int(np.searchsorted(-bound, 1e-6 - floor, side="right")))
+            if hi <= lo or bound[lo] <= 0:
                 break
-            some = order[lo : lo + 8]
-            cos = np.round(v @ self.index[some[:, None], at], 9)
-            floor = -best[-1][0] if len(best) == k else 1e-9
-            b, x = np.nonzero(cos >= floor)
-            ids = some[b] * BLOCK + x
-            best = sorted(best + [(-c, i) for c, i in zip(cos[b, x].tolist(), ids.tolist()) if i != skip])[:k]
-        return [(-c, i) for c, i in best]
+            some = order[lo:hi]
+            new = np.round(v @ self.index[some, at[:, None]].reshape(len(at), -1), 9)
+            hit = np.flatnonzero(new >= floor)
+            cos = np.concatenate([cos, new[hit]])
+            ids = np.concatenate([ids, some[hit // BLOCK] * BLOCK + hit % BLOCK])
+            if skip >= 0:
+                cos, ids = cos[ids != skip], ids[ids != skip]
+            best = np.lexsort((ids, -cos))[:k]
+            cos, ids = cos[best], ids[best]
+            floor = cos[-1] if len(cos) == k else floor
+            lo, step = hi, 2 * step
+        return list(zip(cos.tolist(), ids.tolist()))
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         w = sum(c * c for c, _ in near)
@@ -110,31 +117,21 @@ class Model:
 
 
 class Terms:
-    """Counts the vocabulary's terms in texts: one pass of an automaton of all terms finds them, of which whole words count."""
+    """Counts the vocabulary's terms in texts: a text is parted into words once, of which the terms are kept."""
 
     def __init__(self, terms):
-        self.found = ahocorasick.Automaton()
-        for w in terms:
-            self.found.add_word(w, w)
-        self.found.make_automaton()
+        self.terms = frozenset(terms)
 
     def count(self, text: str) -> Counter:
-        text = text.lower()
-        got: Counter = Counter()
-        if not len(self.found):
-            return got
-        for last, w in self.found.iter(text):
-            first = last - len(w)
-            if not (first >= 0 and WORD.match(text, first)) and not WORD.match(text, last + 1):
-                got[w] += 1
-        return got
+        return Counter([w for w in WORD.findall(text.lower()) if w in self.terms])
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     rows = training_rows(docs, labels)
     flat = F.filter(F.split(F.lower("text"), WORD_JVM), lambda w: w != "")
     bags = rows.select("mark", "doc_id", "y", flat.alias("words"))
-    totals = {r.y: r.n for r in bags.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    found = bags.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.max("mark").alias("top")).collect()
+    totals, top = {r.y: r.n for r in found}, max((r.top for r in found), default=0)
     pos, neg = totals.get(1, 0), totals.get(0, 0)
     if not pos + neg:
         return None
@@ -145,10 +142,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     ranked = sorted(((float(g2(r.a, r.n - r.a, pos, neg)), r.w, r.n) for r in odd.collect()), reverse=True)
     chosen = sorted((w, n) for g, w, n in ranked[:MAX_TERMS] if g >= MIN_G2)
     terms = {w: (i, float(np.log((pos + neg + 1) / (n + 0.5)))) for i, (w, n) in enumerate(chosen)}
-    own = F.array(*[F.lit(w) for w in terms]) if terms else F.array().cast("array<string>")
-    top = bags.agg(F.max("mark")).first()[0] or 0
     picked = bags.filter(F.col("mark") <= (top + 1) * EXAMPLES // (pos + neg)) if pos + neg > EXAMPLES else bags
-    got = picked.select("mark", "doc_id", "y", F.filter("words", lambda w: F.array_contains(own, w)).alias("words")).collect()
+    # The empty word, which is no term, keeps examples without a term.
+    own = docs.sparkSession.range(1).select(F.explode(F.array(*[F.lit(w) for w in ["", *terms]])).alias("w"))
+    rows = picked.select(F.monotonically_increasing_id().alias("at"), "mark", "doc_id", "y", "words")  # apart from explode, which would number words
+    each = rows.select("at", "mark", "doc_id", "y", F.explode(F.concat(F.array(F.lit("")), "words")).alias("w"))
+    held = each.join(F.broadcast(own), "w").groupBy("at", "mark", "doc_id", "y").agg(F.sort_array(F.collect_list("w")).alias("words"))
+    got = held.select("mark", "doc_id", "y", F.expr("slice(words, 2, size(words))").alias("words")).collect()
     got = sorted(got, key=lambda r: (-r.y, r.words[0] if r.words else "", r.mark, str(r.doc_id)))[: 2 * EXAMPLES]
     blocks = -(-max(len(got), 1) // BLOCK)
     m = Model(terms, np.zeros((blocks, max(len(terms), 1), BLOCK), np.float32), np.zeros((max(len(terms), 1), blocks), np.float32), np.array([r.y for r in got], np.int8), 1.0, 0.0, base)
