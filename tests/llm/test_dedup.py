@@ -216,3 +216,35 @@ def test_windows_of_any_order(spark, words):
             if best[0] >= 0.8:
                 want[d, i] = (-best[1], best[0])
     assert got == want and (0, 1) in got and (5, 2) in got
+
+
+def test_links_against_the_edit_distance(spark):
+    """Words and characters changed, put in, taken out and moved at all places, also where nothing is left of one line."""
+    r = random.Random(5)
+    pairs = [("a b c", "a c"), ("b c", "c"), ("a b", "a"), ("aé b", "é b"), ("ab cd ef", "abc def"), ("x", "y"), ("a", "a b a"), ("q" * 300, "q" * 241)]
+    for n in [2, 4, 7, 12, 25] * 40:
+        one = ["".join(r.choice("abcdé") for _ in range(r.randrange(1, 7))) for _ in range(n)]
+        two = list(one)
+        for _ in range(r.randrange(1, 3 + n // 4)):
+            i = r.randrange(len(two))
+            two[i : i + 1] = r.choice([[], [two[i], "ab"], [two[i] + "c"], [two[i][1:] or "d"], [two[i][::-1]]]) or two[i : i + 1][: len(two) == 1]
+        pairs.append((" ".join(one), " ".join(two)))
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    got = {x.i for x in df.filter(line_dedup.similar("a", "b", 0.8)).collect()}
+    words = lambda a, b: len(set(a.split()) & set(b.split())) >= 0.3 * min(len(set(a.split())), len(set(b.split())))
+    want = {i for i, (a, b) in enumerate(pairs) if (min(len(a), len(b)) <= 80 or words(a, b)) and distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9}
+    assert got == want and 0 < len(want) < len(pairs)
+
+
+def test_unlike_lines_of_a_piece_are_not_listed(spark, monkeypatch):
+    """Short lines that share a piece by chance, among which one link: the pairs that are no links are not handed on."""
+    r = random.Random(3)
+    word = lambda n: "".join(r.choice("abcdefghiklmnoprstuvw") for _ in range(n))
+    lines = [f"{word(9)} {word(8)} sharedx {word(9)}" for _ in range(150)]
+    lines += [lines[70][:-1] + "z", "other words stand in this line", "other words stand in that line"]
+    listed, alike = [], line_dedup.alike
+    monkeypatch.setattr(line_dedup, "alike", lambda pairs, *a: listed.append(pairs.count()) or alike(pairs, *a))
+    monkeypatch.setattr(components, "PART", 16)
+    got = {x.doc_id for x in line_dedup.report(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).filter("n_dropped > 0").collect()}
+    assert got == {150, 152}
+    assert sum(listed) < 5 * len(lines)  # the stars are listed, as before; all pairs would be 11,000
