@@ -122,6 +122,38 @@ def test_long_lines_and_strange_tables(spark, strange, empty, words):
     assert line_dedup.report(empty).count() == 0 and line_dedup.cleaned(empty).count() == 0
 
 
+def test_ends_of_lines_reject_no_link(spark):
+    r = random.Random(9)
+    some = lambda n: "".join(r.choice("abcdefé ") for _ in range(n))
+    rows = []
+    for _ in range(400):
+        x = some(r.randrange(1, 60))
+        y, share = list(x), r.random() * 0.4
+        for _ in range(int(share * len(x))):
+            i = r.randrange(len(y) + 1)
+            y[i : i + r.randrange(2)] = some(r.randrange(2))
+        rows.append((x, "".join(y) if r.random() < 0.8 else some(r.randrange(1, 60))))
+    got = spark.createDataFrame(rows, "x string, y string").selectExpr("x", "y", line_dedup.most_edits("x", "y", 0.8) + " as most", line_dedup.ends_allow("x", "y", line_dedup.most_edits("x", "y", 0.8)) + " as ok").collect()
+    links = [z for z in got if distance(z.x, z.y) <= z.most]
+    assert links and all(z.ok for z in links) and sum(not z.ok for z in got) > 50
+
+
+def test_long_lines_that_share_a_passage_are_not_listed_as_pairs(spark, words, monkeypatch):
+    """Lines of over 400 characters are compared inside the second step's join: only links leave it."""
+    r = random.Random(4)
+    some = lambda n: " ".join(r.choice(words) + r.choice("abcdefgh") for _ in range(n))
+    passage = some(50)
+    lines = [f"{some(25)} {passage} {some(25)}" for _ in range(36)]
+    lines += [x + " end" for x in lines[::6]]
+    assert all(400 < len(x) < line_dedup.CARRIED for x in lines)
+    listed = []
+    plain = line_dedup.alike
+    monkeypatch.setattr(line_dedup, "alike", lambda pairs, *rest: (listed.append(pairs.count()), plain(pairs, *rest))[1])
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert [x.n_dropped for x in line_dedup.report(docs).orderBy("doc_id").collect()] == [0] * 36 + [1] * 6
+    assert len(listed) == 2 and listed[1] <= 6
+
+
 def test_decontamination(spark, docs, strange, empty, words, texts):
     w = [x for x in norm(texts[20])]
     items = [(1, " ".join(w[:40])), (2, " ".join(words[:45])), (3, None), (4, ""), (5, "one two"), (6, " ".join(words[100:160])), (6, " ".join(words[100:160]))]

@@ -17,6 +17,7 @@ give equal rows; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -29,6 +30,8 @@ from .common import shipped
 
 #: Cached pieces of a Python worker; beyond, the cache starts anew.
 CACHE_PIECES = 400_000
+#: New pieces of up to so many bytes are merged together, in arrays of one of these widths.
+WIDTHS = (8, 16, 32)
 #: Code points scanned at once.
 CHUNK_CHARS = 1 << 20
 SCAN_ROWS = 64
@@ -85,6 +88,7 @@ def _monoid():
 
 
 MAPS, COMPOSE, FUNCTION, N_MAPS = _monoid()
+NO_RANK = 1 << 60
 BEGINS = np.array([[_step(s, c)[1] for c in range(N_SYMBOLS)] for s in range(N_STATES)])
 
 _classes: list[np.ndarray] = []
@@ -233,12 +237,64 @@ def _merged_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Merges:
+    """merged() for many short pieces at once: one merge of every piece a step, on arrays of ids."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        pairs = {}
+        for whole, rank in ranks.items():
+            for i in range(1, len(whole)):
+                a, b = ranks.get(whole[:i]), ranks.get(whole[i:])
+                if a is not None and b is not None:
+                    pairs[a << 32 | b] = rank
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.values = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
+        self.bytes = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int64)
+        self.all_bytes = bool(len(self.keys)) and bool((self.bytes >= 0).all())
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of each pair of ids side by side, NO_RANK if it has none."""
+        want = a << 32 | b
+        at = np.searchsorted(self.keys, want)
+        np.minimum(at, len(self.keys) - 1, out=at)
+        return np.where(self.keys[at] == want, self.values[at], NO_RANK)
+
+    def ids(self, pieces: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each piece (of 1 to width bytes) in a row of a matrix, and how many they are."""
+        n = len(pieces)
+        left = np.array([len(p) for p in pieces])
+        ids = self.bytes[np.frombuffer(b"".join([p.ljust(width, b"\0") for p in pieces]), np.uint8).reshape(n, width)]
+        rank = np.full((n, width), NO_RANK, np.int64)  # of the pair that begins at each place
+        row, col = np.nonzero(np.arange(1, width)[None, :] < left[:, None])
+        rank[row, col] = self.rank(ids[row, col], ids[row, col + 1])
+        out, counts, which, cols = ids.copy(), left.copy(), np.arange(n), np.arange(width)
+        while len(which):
+            at = rank.argmin(axis=1)  # the leftmost of the lowest
+            low = rank[np.arange(len(which)), at]
+            open_ = low < NO_RANK
+            out[which[~open_]], counts[which[~open_]] = ids[~open_], left[~open_]
+            which, at, low, left = which[open_], at[open_], low[open_], left[open_] - 1
+            source = np.minimum(cols[None, :] + (cols[None, :] > at[:, None]), width - 1)
+            each = np.arange(len(which))
+            ids = np.take_along_axis(ids[open_], source, 1)
+            ids[each, at] = low
+            # The merged pair's own rank goes; the last place never begins a pair.
+            rank = np.take_along_axis(rank[open_], source, 1)
+            rank[each, at] = NO_RANK
+            right = np.flatnonzero(at + 1 < left)
+            rank[right, at[right]] = self.rank(low[right], ids[right, at[right] + 1])
+            before = np.flatnonzero(at > 0)
+            rank[before, at[before] - 1] = self.rank(ids[before, at[before] - 1], low[before])
+        return out, counts
+
+
 class Encoder:
     """Encodes and decodes by the ranks in a file."""
 
     def __init__(self, path: str):
         self.ranks = read_ranks(path)
         self.pieces = Pieces(self.ranks)
+        self.merges = Merges(self.ranks)
         self.by_text = {str(i): b for b, i in self.ranks.items()}
         self.by_id = {i: b for b, i in self.ranks.items()}
 
@@ -256,12 +312,36 @@ class Encoder:
             cut = self.cuts(whole, starts)
             where = np.searchsorted(cut, starts).tolist()
             at = [*cut.tolist(), len(whole)]
+            pieces = [whole[s:e] for s, e in zip(at, at[1:])]
+            self.learned(set(pieces))
             get = self.pieces.__getitem__
             for k in range(len(part)):
-                a, b = where[k], where[k + 1]
-                yield ",".join([get(whole[s:e]) for s, e in zip(at[a:b], at[a + 1 : b + 1])])
+                yield ",".join(map(get, pieces[where[k] : where[k + 1]]))
             lo = hi
 
+    def learned(self, pieces: set[str]) -> None:
+        """Puts the short ones of the pieces into the cache, new ones merged together; others are merged when asked for."""
+        known = self.pieces
+        new = pieces.difference(known)
+        if len(known) + len(new) >= CACHE_PIECES:
+            known.clear()
+            new = pieces
+        if not self.merges.all_bytes:
+            return
+        short: list[list[tuple[str, bytes]]] = [[] for _ in WIDTHS]
+        for piece in new:
+            raw = piece.encode("utf-8", "surrogatepass")
+            if (rank := self.ranks.get(raw)) is not None:
+                known[piece] = str(rank)
+            elif len(raw) <= WIDTHS[-1]:
+                short[bisect.bisect_left(WIDTHS, len(raw))].append((piece, raw))
+        for width, some in zip(WIDTHS, short):
+            if some:
+                ids, counts = self.merges.ids([raw for _, raw in some], width)
+                flat = list(map(str, ids[np.arange(width)[None, :] < counts[:, None]].tolist()))
+                ends = np.cumsum(counts).tolist()
+                known.update((piece, ",".join(flat[a:b])) for (piece, _), a, b in zip(some, [0, *ends], ends))
+
     def cuts(self, whole: str, starts: np.ndarray) -> np.ndarray:
         """Where pieces begin in texts that stand one behind the other."""
         if not whole:
