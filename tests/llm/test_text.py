@@ -37,6 +37,24 @@ def test_byte_bpe_equals_the_library(docs, texts, strange, empty):
     assert bpe.digests(strange, PATH).count() == strange.count() and bpe.digests(empty, PATH).count() == 0
 
 
+def test_pieces_merged_together_equal_those_merged_alone():
+    enc = bpe.encoder(PATH)
+    r = random.Random(8)
+    some = ["".join(r.choice("tionerchéßü中 \ud800") for _ in range(r.randrange(1, 12))).encode("utf-8", "surrogatepass") for _ in range(3 * bpe.MERGED_AT_ONCE // 2)]
+    for width in (16, 48):
+        fit = [p for p in some if len(p) <= width]
+        ids, counts = enc.merges.ids(fit, width)
+        ends = np.cumsum([0, *counts]).tolist()
+        assert len(fit) > bpe.MERGED_AT_ONCE and len(ids) == ends[-1]
+        for p, a, b in zip(fit, ends, ends[1:]):
+            if p not in enc.ranks:
+                assert ids[a:b] == bpe.merged(p, enc.ranks)
+    few = {bytes([i]): i for i in range(256)} | {b"ab": 256, b"bc": 257, b"abc": 258, b"aa": 259}
+    for p in (b"aaa", b"aaaa", b"bcab", b"z", b"abcabaabc"):
+        assert bpe.Merges(few).ids([p], 16)[0] == bpe.merged(p, few)
+    assert not bpe.Merges({b"a": 0}).usable and not bpe.Merges({}).usable
+
+
 def test_packing_loses_nothing(docs, texts, empty):
     enc = bpe.encoder(PATH)
     rows = packing.packed(docs, PATH, row_tokens=256).collect()

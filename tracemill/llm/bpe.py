@@ -17,7 +17,6 @@ give equal rows; other columns are ignored.
 from __future__ import annotations
 
 import base64
-import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -32,6 +31,8 @@ from .common import shipped
 CACHE_PIECES = 400_000
 #: New pieces of up to so many bytes are merged together, in arrays of one of these widths.
 WIDTHS = (8, 16, 32)
+#: So many pieces stand in those arrays at a time, which then fit into a processor's own cache.
+MERGED_AT_ONCE = 4096
 #: Code points scanned at once.
 CHUNK_CHARS = 1 << 20
 SCAN_ROWS = 64
@@ -88,7 +89,7 @@ def _monoid():
 
 
 MAPS, COMPOSE, FUNCTION, N_MAPS = _monoid()
-NO_RANK = 1 << 60
+NO_KEY = (1 << 31) - 1
 BEGINS = np.array([[_step(s, c)[1] for c in range(N_SYMBOLS)] for s in range(N_STATES)])
 
 _classes: list[np.ndarray] = []
@@ -238,7 +239,10 @@ def _merged_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Merges:
-    """merged() for many short pieces at once: one merge of every piece a step, on arrays of ids."""
+    """merged() for many short pieces at once: one merge of every piece a step, on arrays of ids.
+
+    A piece is a column, its places are linked both ways, and a merge touches four places of a column. The pairs of ids that have a rank stand
+    in a hash table with open addressing."""
 
     def __init__(self, ranks: dict[bytes, int]):
         pairs = {}
@@ -247,45 +251,79 @@ class Merges:
                 a, b = ranks.get(whole[:i]), ranks.get(whole[i:])
                 if a is not None and b is not None:
                     pairs[a << 32 | b] = rank
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.values = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
-        self.bytes = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int64)
-        self.all_bytes = bool(len(self.keys)) and bool((self.bytes >= 0).all())
-
-    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Rank of each pair of ids side by side, NO_RANK if it has none."""
-        want = a << 32 | b
-        at = np.searchsorted(self.keys, want)
-        np.minimum(at, len(self.keys) - 1, out=at)
-        return np.where(self.keys[at] == want, self.values[at], NO_RANK)
-
-    def ids(self, pieces: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of each piece (of 1 to width bytes) in a row of a matrix, and how many they are."""
-        n = len(pieces)
-        left = np.array([len(p) for p in pieces])
-        ids = self.bytes[np.frombuffer(b"".join([p.ljust(width, b"\0") for p in pieces]), np.uint8).reshape(n, width)]
-        rank = np.full((n, width), NO_RANK, np.int64)  # of the pair that begins at each place
-        row, col = np.nonzero(np.arange(1, width)[None, :] < left[:, None])
-        rank[row, col] = self.rank(ids[row, col], ids[row, col + 1])
-        out, counts, which, cols = ids.copy(), left.copy(), np.arange(n), np.arange(width)
-        while len(which):
-            at = rank.argmin(axis=1)  # the leftmost of the lowest
-            low = rank[np.arange(len(which)), at]
-            open_ = low < NO_RANK
-            out[which[~open_]], counts[which[~open_]] = ids[~open_], left[~open_]
-            which, at, low, left = which[open_], at[open_], low[open_], left[open_] - 1
-            source = np.minimum(cols[None, :] + (cols[None, :] > at[:, None]), width - 1)
-            each = np.arange(len(which))
-            ids = np.take_along_axis(ids[open_], source, 1)
-            ids[each, at] = low
-            # The merged pair's own rank goes; the last place never begins a pair.
-            rank = np.take_along_axis(rank[open_], source, 1)
-            rank[each, at] = NO_RANK
-            right = np.flatnonzero(at + 1 < left)
-            rank[right, at[right]] = self.rank(low[right], ids[right, at[right] + 1])
-            before = np.flatnonzero(at > 0)
-            rank[before, at[before] - 1] = self.rank(ids[before, at[before] - 1], low[before])
-        return out, counts
+        keys, values = np.fromiter(pairs, np.int64, len(pairs)), np.fromiter(pairs.values(), np.int64, len(pairs))
+        self.bits = max(4, (4 * len(pairs)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        slots = self.slots(keys)
+        while len(keys):
+            free = self.keys[slots] < 0
+            self.keys[slots[free]] = keys[free]  # of several for one slot the last stays
+            self.values[slots[free]] = values[free]
+            lost = self.keys[slots] != keys
+            keys, values, slots = keys[lost], values[lost], slots[lost] + 1 & len(self.keys) - 1
+        self.bytes = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int32)
+        self.none = max(ranks.values(), default=0) + 1  # the id of a place that holds nothing; no pair has it
+        # A key has the rank and, in six bits, the place.
+        self.usable = bool(pairs) and bool((self.bytes >= 0).all()) and self.none < 1 << 25
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def key(self, a: np.ndarray, b: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Rank of each pair of ids side by side above the pair's place, NO_KEY if it has none."""
+        want = a.astype(np.int64) << 32 | b
+        slot = self.slots(want)
+        got = self.keys[slot]
+        out = np.where(got == want, self.values[slot] << 6 | place, NO_KEY)
+        open_ = np.flatnonzero((got != want) & (got >= 0))
+        while len(open_):
+            at = slot[open_] + 1 & len(self.keys) - 1
+            slot[open_] = at
+            got = self.keys[at]
+            hit = got == want[open_]
+            some = open_[hit]
+            out[some] = self.values[at[hit]] << 6 | place[some]
+            open_ = open_[~hit & (got >= 0)]
+        return out
+
+    def ids(self, pieces: list[bytes], width: int) -> tuple[list[int], np.ndarray]:
+        """Ids of all pieces (of 1 to width bytes), one behind the other, and how many each has."""
+        flat, counts = [], []
+        for lo in range(0, len(pieces), MERGED_AT_ONCE):
+            some, n = self._ids(pieces[lo : lo + MERGED_AT_ONCE], width)
+            flat.extend(some.tolist())
+            counts.append(n)
+        return flat, np.concatenate(counts)
+
+    def _ids(self, pieces: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+        n, places = len(pieces), width + 2  # with an empty one at either end
+        raw = np.frombuffer(b"".join([p.ljust(width, b"\0") for p in pieces]), np.uint8).reshape(n, width).T
+        ids = np.full((places, n), self.none, np.int32)
+        held = np.arange(width)[:, None] < np.array([len(p) for p in pieces])[None, :]
+        ids[1:-1][held] = self.bytes[raw[held]]
+        rank = np.full((places, n), NO_KEY, np.int32)
+        place, column = np.nonzero(held[1:])
+        rank[place + 1, column] = self.key(ids[place + 1, column], ids[place + 2, column], (place + 1).astype(np.int32))
+        grid = np.arange(places * n, dtype=np.int64)
+        after, before = grid + n, grid - n  # of each place, as places of the flat arrays
+        flat, ranks = ids.reshape(-1), rank.reshape(-1)
+        while True:
+            low = rank.min(axis=0)  # the leftmost of the lowest
+            column = np.flatnonzero(low != NO_KEY)
+            if not len(column):
+                break
+            low = low[column]
+            left = (low & 63).astype(np.int64) * n + column
+            id_ = low >> 6
+            gone = after[left]
+            right, prior = after[gone], before[left]
+            flat[left], flat[gone], ranks[gone] = id_, self.none, NO_KEY
+            after[left], before[right] = right, left
+            ranks[left] = self.key(id_, flat[right], low & 63)
+            ranks[prior] = self.key(flat[prior], id_, (prior // n).astype(np.int32))
+        held = np.ascontiguousarray(ids.T)
+        full = held != self.none
+        return held[full], full.sum(axis=1)
 
 
 class Encoder:
@@ -326,21 +364,23 @@ class Encoder:
         if len(known) + len(new) >= CACHE_PIECES:
             known.clear()
             new = pieces
-        if not self.merges.all_bytes:
+        if not self.merges.usable:
             return
-        short: list[list[tuple[str, bytes]]] = [[] for _ in WIDTHS]
-        for piece in new:
-            raw = piece.encode("utf-8", "surrogatepass")
-            if (rank := self.ranks.get(raw)) is not None:
-                known[piece] = str(rank)
-            elif len(raw) <= WIDTHS[-1]:
-                short[bisect.bisect_left(WIDTHS, len(raw))].append((piece, raw))
-        for width, some in zip(WIDTHS, short):
+        names = list(new)
+        try:
+            raws = list(map(str.encode, names))
+        except UnicodeEncodeError:
+            raws = [x.encode("utf-8", "surrogatepass") for x in names]
+        whole = list(map(self.ranks.get, raws))
+        sizes = np.fromiter(map(len, raws), np.int64, len(raws))
+        sizes[[i for i, rank in enumerate(whole) if rank is not None]] = 0
+        known.update((names[i], str(whole[i])) for i in np.flatnonzero(sizes == 0).tolist())
+        for least, width in zip((0, *WIDTHS), WIDTHS):
+            some = np.flatnonzero((sizes > least) & (sizes <= width)).tolist()
             if some:
-                ids, counts = self.merges.ids([raw for _, raw in some], width)
-                flat = list(map(str, ids[np.arange(width)[None, :] < counts[:, None]].tolist()))
-                ends = np.cumsum(counts).tolist()
-                known.update((piece, ",".join(flat[a:b])) for (piece, _), a, b in zip(some, [0, *ends], ends))
+                ids, counts = self.merges.ids([raws[i] for i in some], width)
+                flat, ends = list(map(str, ids)), np.cumsum(counts).tolist()
+                known.update(zip([names[i] for i in some], [",".join(flat[a:b]) for a, b in zip([0, *ends], ends)]))
 
     def cuts(self, whole: str, starts: np.ndarray) -> np.ndarray:
         """Where pieces begin in texts that stand one behind the other."""
