@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -360,27 +361,26 @@ class Encoder:
     def learned(self, pieces: set[str]) -> None:
         """Puts the short ones of the pieces into the cache, new ones merged together; others are merged when asked for."""
         known = self.pieces
-        new = pieces.difference(known)
+        new = list(itertools.filterfalse(known.__contains__, pieces))  # a set's difference() would walk all of a subclass of dict
         if len(known) + len(new) >= CACHE_PIECES:
             known.clear()
-            new = pieces
+            new = list(pieces)
         if not self.merges.usable:
             return
-        names = list(new)
         try:
-            raws = list(map(str.encode, names))
+            raws = list(map(str.encode, new))
         except UnicodeEncodeError:
-            raws = [x.encode("utf-8", "surrogatepass") for x in names]
+            raws = [x.encode("utf-8", "surrogatepass") for x in new]
         whole = list(map(self.ranks.get, raws))
         sizes = np.fromiter(map(len, raws), np.int64, len(raws))
         sizes[[i for i, rank in enumerate(whole) if rank is not None]] = 0
-        known.update((names[i], str(whole[i])) for i in np.flatnonzero(sizes == 0).tolist())
+        known.update((new[i], str(whole[i])) for i in np.flatnonzero(sizes == 0).tolist())
         for least, width in zip((0, *WIDTHS), WIDTHS):
             some = np.flatnonzero((sizes > least) & (sizes <= width)).tolist()
             if some:
                 ids, counts = self.merges.ids([raws[i] for i in some], width)
                 flat, ends = list(map(str, ids)), np.cumsum(counts).tolist()
-                known.update(zip([names[i] for i in some], [",".join(flat[a:b]) for a, b in zip([0, *ends], ends)]))
+                known.update(zip([new[i] for i in some], [",".join(flat[a:b]) for a, b in zip([0, *ends], ends)]))
 
     def cuts(self, whole: str, starts: np.ndarray) -> np.ndarray:
         """Where pieces begin in texts that stand one behind the other."""
