@@ -1,8 +1,10 @@
+import os
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
-from tracemill.llm import components, decontaminate, line_dedup, minhash
+from tracemill.llm import common, components, decontaminate, line_dedup, minhash
 
 
 def norm(t):
@@ -280,3 +282,61 @@ def test_unlike_lines_of_a_piece_are_not_listed(spark, monkeypatch):
     got = {x.doc_id for x in line_dedup.report(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).filter("n_dropped > 0").collect()}
     assert got == {150, 152}
     assert sum(listed) < 5 * len(lines)  # the stars are listed, as before; all pairs would be 11,000
+
+
+def test_shuffle_files_of_written_tables_are_removed(spark):
+    """They took up to half of the disk of line dedup until the driver's garbage collector found them."""
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").count("shuffle_")
+    before = files()
+    got = common.written(spark.range(5000).selectExpr("id % 700 as k", "id").groupBy("k").sum("id"), "sums")
+    until = time.time() + 10
+    while files() > before and time.time() < until:
+        time.sleep(0.1)
+    assert files() <= before and got.count() == 700
+    assert spark.conf.get(common.CLEANUP) == "false"  # as it was
+    common.dropped(got)
+
+
+def test_pieces_are_gone_before_lines_are_compared(spark, docs, monkeypatch):
+    """The pieces are the largest table: buckets are found in parts, and the table goes before the pairs are made."""
+    at, there, found = common.scratch(spark)[len("file://"):], [], []
+    alike, written = line_dedup.alike, components.written
+
+    def columns(pairs, *rest):
+        there.append([p for p in os.listdir(at) for f in [spark.read.parquet(f"{at}/{p}")] if {"own", "k2"} <= set(f.columns)])
+        return alike(pairs, *rest)
+
+    def counted(df, name):
+        out = written(df, name)
+        found.extend([out.count()] if name == "several" else [])
+        return out
+
+    before = {p for p in (os.listdir(at) if os.path.isdir(at) else []) if p.startswith(("lines", "pieces"))}
+    monkeypatch.setattr(line_dedup, "alike", columns)
+    monkeypatch.setattr(components, "written", counted)
+    assert line_dedup.report(docs).filter("n_dropped > 0").count() > 0
+    assert there and not [p for made in there for p in made if p not in before]
+    assert max(found) < 0.5 * sum(found)
+
+
+def test_passes_lose_no_link(spark):
+    """Chains of nodes in several buckets, some links of which only the second step finds, in three passes."""
+    r = random.Random(8)
+    rows = [(b, n) for b in range(9) for n in r.sample(range(60), 12)]
+    members = spark.createDataFrame(rows + rows[:30], "bucket long, node long")
+
+    parent = list(range(60))
+
+    def root(n):
+        return n if parent[n] == n else root(parent[n])
+
+    for b, n in rows:
+        for c, m in rows:
+            if b == c and n != m and (n + m) % 7 == 0:
+                lo, hi = sorted((root(n), root(m)))
+                parent[hi] = lo
+    size = {n: sum(root(m) == root(n) for m in range(60)) for n in range(60)}
+    want = {n: root(n) for n in range(60) if size[n] > 1}
+    verify = lambda pairs: pairs.filter("(a + b) % 7 = 0")
+    got = components.classes(components.in_company(members, 3), verify, passes=3)
+    assert {x.node: x.root for x in got.collect()} == want
