@@ -55,6 +55,31 @@ def test_pieces_merged_together_equal_those_merged_alone():
     assert not bpe.Merges({b"a": 0}).usable and not bpe.Merges({}).usable
 
 
+def test_short_pieces_are_looked_up_once_a_chunk(monkeypatch):
+    """Equal short pieces are one lookup; what is alike in part, odd code points, long pieces and a full cache change no id."""
+    enc = bpe.Encoder(PATH)
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=enc.ranks, special_tokens={})
+    asked = []
+    plain = bpe.Pieces.numbers
+    monkeypatch.setattr(bpe.Pieces, "numbers", lambda self, pieces: (asked.append(len(pieces)), plain(self, pieces))[1])
+    assert [x.tolist() for x in enc.ids(["one two one" * 500, "", " two"])] == [own.encode_ordinary(x) for x in ("one two one" * 500, "", " two")]
+    assert asked == [4]  # "one", " two", " oneone", " one"
+    r = random.Random(3)
+    some = ["a\0", "a", "\0", "\0\0a", "é", "éa", "abcdefgh", "abcdefghi", "中", "中a", "ā", "z" * 300, "qx" * 900, "", " ", "\n"]
+    texts = [" ".join(r.choice(some) for _ in range(r.randrange(9))) for _ in range(600)]
+    want = [own.encode_ordinary(x) for x in texts]
+    assert [x.tolist() for x in enc.ids(texts)] == want
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 30)
+    monkeypatch.setattr(bpe, "CHUNK_CHARS", 50)
+    for most in (1 << 22, 40):
+        monkeypatch.setattr(bpe, "CACHE_IDS", most)
+        assert [x.tolist() for x in enc.ids(texts)] == want
+    assert not any(len(x) > 256 for x in enc.pieces.number if x not in enc.pieces.long)
+    few = {bytes([i]): i for i in range(256)}  # no pair has a rank
+    pieces = bpe.Pieces(few, bpe.Merges(few))
+    assert not pieces.merges.usable and [x.tolist() for x in pieces.of(pieces.numbers(["ab", "c", "ab"]))] == [[97, 98, 99, 97, 98], [2, 3, 5]]
+
+
 def test_packing_loses_nothing(docs, texts, empty):
     enc = bpe.encoder(PATH)
     rows = packing.packed(docs, PATH, row_tokens=256).collect()

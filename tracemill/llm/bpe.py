@@ -30,10 +30,14 @@ from .common import shipped
 
 #: Cached pieces of a Python worker; beyond, the cache starts anew.
 CACHE_PIECES = 400_000
+#: Ids of cached pieces, likewise.
+CACHE_IDS = 1 << 22
 #: New pieces of up to so many bytes are merged together, in arrays of one of these widths.
 WIDTHS = (8, 16, 32)
 #: So many pieces stand in those arrays at a time, which then fit into a processor's own cache.
 MERGED_AT_ONCE = 4096
+#: Pieces of up to so many one-byte code points, which fit into one number, are looked up once a chunk.
+KEY_CHARS = 8
 #: Code points scanned at once.
 CHUNK_CHARS = 1 << 20
 SCAN_ROWS = 64
@@ -165,24 +169,106 @@ def boundaries(points: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(BEGINS[state, syms])
 
 
+def alike(points: np.ndarray, cut: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in cut that stand for all pieces, and which of them stands for each piece.
+
+    Equal pieces of up to KEY_CHARS code points from 1 to 255 have one; any other piece has its own."""
+    odd = np.cumsum((points == 0) | (points > 255))
+    short = (sizes <= KEY_CHARS) & (odd[cut + sizes - 1] == odd[cut] - ((points[cut] == 0) | (points[cut] > 255)))
+    own, some = np.flatnonzero(~short), np.flatnonzero(short)
+    keys = np.zeros(len(some), np.uint64)
+    at, size = cut[some], sizes[some]
+    for i in range(KEY_CHARS):
+        if i:
+            more = size > i
+            keys[more] |= points[at[more] + i].astype(np.uint64) << np.uint64(8 * i)
+        else:
+            keys |= points[at]
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    which = np.empty(len(cut), np.int64)
+    which[some[order]] = np.cumsum(new) - 1
+    first = some[order[new]]
+    which[own] = len(first) + np.arange(len(own))
+    return np.concatenate([first, own]), which
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-class Pieces(dict):
-    """Piece to its ids as text joined by commas, merged when first asked for."""
+class Pieces:
+    """Numbers of pieces met before, and the ids of each, which stand one behind the other in an array."""
+
+    def __init__(self, ranks: dict[bytes, int], merges: Merges):
+        self.ranks, self.merges = ranks, merges
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.long: list[str] = []  # pieces that are not kept
+        self.many = self.held = 0  # pieces numbered and ids held
+        self.ids, self.begin, self.count = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def numbers(self, pieces: list[str]) -> np.ndarray:
+        """The number of each piece, good until the next call; new ones are merged together."""
+        for piece in self.long:
+            del self.number[piece]
+        self.long = []
+        out = np.fromiter(map(self.number.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(out < 0).tolist()
+        if missing:
+            new = set(map(pieces.__getitem__, missing))
+            if self.many + len(new) >= CACHE_PIECES or self.held >= CACHE_IDS:
+                self.clear()
+                missing, new = range(len(pieces)), set(pieces)
+            self._learn(list(new))
+            out[missing] = np.fromiter(map(self.number.__getitem__, map(pieces.__getitem__, missing)), np.int64, len(missing))
+        return out
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces with these numbers, one behind the other, and where those of each piece end."""
+        counts = self.count[numbers]
+        ends = np.cumsum(counts)
+        return self.ids[np.repeat(self.begin[numbers] - ends + counts, counts) + np.arange(counts.sum())], ends
+
+    def _learn(self, new: list[str]) -> None:
+        try:
+            raws = list(map(str.encode, new))
+        except UnicodeEncodeError:
+            raws = [x.encode("utf-8", "surrogatepass") for x in new]
+        whole = np.fromiter(map(self.ranks.get, raws, itertools.repeat(-1)), np.int32, len(raws))
+        sizes = np.fromiter(map(len, raws), np.int64, len(raws))
+        known = np.flatnonzero(whole >= 0)
+        sizes[known] = 0
+        self._add([new[i] for i in known.tolist()], whole[known], np.ones(len(known), np.int64))
+        widths = WIDTHS if self.merges.usable else ()
+        for least, width in zip((0, *widths), widths):
+            some = np.flatnonzero((sizes > least) & (sizes <= width)).tolist()
+            if some:
+                self._add([new[i] for i in some], *self.merges.flat([raws[i] for i in some], width))
+        rest = np.flatnonzero(sizes > (widths[-1] if widths else 0)).tolist()
+        for i in rest:
+            ids = merged(raws[i], self.ranks)
+            self._add([new[i]], np.array(ids, np.int32), np.array([len(ids)]))
+        self.long = [new[i] for i in rest if len(new[i]) > 256]
+
+    def _add(self, pieces: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        many, held = self.many + len(pieces), self.held + len(ids)
+        self.number.update(zip(pieces, range(self.many, many)))
+        self.ids, self.begin, self.count = _with_room(self.ids, held), _with_room(self.begin, many), _with_room(self.count, many)
+        self.ids[self.held : held] = ids
+        self.begin[self.many : many] = self.held + np.cumsum(counts) - counts
+        self.count[self.many : many] = counts
+        self.many, self.held = many, held
 
-    def __missing__(self, piece: str) -> str:
-        ids = ",".join(map(str, merged(piece.encode("utf-8", "surrogatepass"), self.ranks)))
-        if len(self) >= CACHE_PIECES:
-            self.clear()
-        if len(piece) <= 256:
-            self[piece] = ids
-        return ids
+
+def _with_room(array: np.ndarray, size: int) -> np.ndarray:
+    """The array, or one of twice that size at least with the same beginning."""
+    return array if size <= len(array) else np.concatenate([array, np.zeros(2 * size - len(array), array.dtype)])
 
 
 def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -288,13 +374,14 @@ class Merges:
         return out
 
     def ids(self, pieces: list[bytes], width: int) -> tuple[list[int], np.ndarray]:
+        """flat() with the ids as a list."""
+        flat, counts = self.flat(pieces, width)
+        return flat.tolist(), counts
+
+    def flat(self, pieces: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces (of 1 to width bytes), one behind the other, and how many each has."""
-        flat, counts = [], []
-        for lo in range(0, len(pieces), MERGED_AT_ONCE):
-            some, n = self._ids(pieces[lo : lo + MERGED_AT_ONCE], width)
-            flat.extend(some.tolist())
-            counts.append(n)
-        return flat, np.concatenate(counts)
+        flat, counts = zip(*[self._ids(pieces[lo : lo + MERGED_AT_ONCE], width) for lo in range(0, len(pieces), MERGED_AT_ONCE)])
+        return np.concatenate(flat), np.concatenate(counts)
 
     def _ids(self, pieces: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
         n, places = len(pieces), width + 2  # with an empty one at either end
@@ -332,13 +419,18 @@ class Encoder:
 
     def __init__(self, path: str):
         self.ranks = read_ranks(path)
-        self.pieces = Pieces(self.ranks)
         self.merges = Merges(self.ranks)
-        self.by_text = {str(i): b for b, i in self.ranks.items()}
+        self.pieces = Pieces(self.ranks, self.merges)
         self.by_id = {i: b for b, i in self.ranks.items()}
+        self.as_text = {i: str(i) for i in self.by_id}
 
     def texts(self, texts: list[str]) -> Iterator[str]:
         """Ids of each text, as decimal numbers joined by commas."""
+        for ids in self.ids(texts):
+            yield ",".join(map(self.as_text.__getitem__, ids.tolist()))
+
+    def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of each text."""
         lo = 0
         while lo < len(texts):
             hi, size = lo + 1, len(texts[lo])
@@ -348,53 +440,28 @@ class Encoder:
             part = texts[lo:hi]
             whole = "".join(part)
             starts = np.cumsum([0, *map(len, part)])
-            cut = self.cuts(whole, starts)
-            where = np.searchsorted(cut, starts).tolist()
-            at = [*cut.tolist(), len(whole)]
-            pieces = [whole[s:e] for s, e in zip(at, at[1:])]
-            self.learned(set(pieces))
-            get = self.pieces.__getitem__
-            for k in range(len(part)):
-                yield ",".join(map(get, pieces[where[k] : where[k + 1]]))
+            points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+            cut = self.cuts(points, starts)
+            sizes = np.diff(cut, append=len(points))
+            first, which = alike(points, cut, sizes)
+            numbers = self.pieces.numbers([whole[s:e] for s, e in zip(cut[first].tolist(), (cut[first] + sizes[first]).tolist())])
+            flat, ends = self.pieces.of(numbers[which])
+            where = np.concatenate([[0], ends])[np.searchsorted(cut, starts)].tolist()
+            for s, e in zip(where, where[1:]):
+                yield flat[s:e]
             lo = hi
 
-    def learned(self, pieces: set[str]) -> None:
-        """Puts the short ones of the pieces into the cache, new ones merged together; others are merged when asked for."""
-        known = self.pieces
-        new = list(itertools.filterfalse(known.__contains__, pieces))  # a set's difference() would walk all of a subclass of dict
-        if len(known) + len(new) >= CACHE_PIECES:
-            known.clear()
-            new = list(pieces)
-        if not self.merges.usable:
-            return
-        try:
-            raws = list(map(str.encode, new))
-        except UnicodeEncodeError:
-            raws = [x.encode("utf-8", "surrogatepass") for x in new]
-        whole = list(map(self.ranks.get, raws))
-        sizes = np.fromiter(map(len, raws), np.int64, len(raws))
-        sizes[[i for i, rank in enumerate(whole) if rank is not None]] = 0
-        known.update((new[i], str(whole[i])) for i in np.flatnonzero(sizes == 0).tolist())
-        for least, width in zip((0, *WIDTHS), WIDTHS):
-            some = np.flatnonzero((sizes > least) & (sizes <= width)).tolist()
-            if some:
-                ids, counts = self.merges.ids([raws[i] for i in some], width)
-                flat, ends = list(map(str, ids)), np.cumsum(counts).tolist()
-                known.update(zip([new[i] for i in some], [",".join(flat[a:b]) for a, b in zip([0, *ends], ends)]))
-
-    def cuts(self, whole: str, starts: np.ndarray) -> np.ndarray:
-        """Where pieces begin in texts that stand one behind the other."""
-        if not whole:
+    def cuts(self, points: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Where pieces begin in texts that stand one behind the other, of which these are the code points."""
+        if not len(points):
             return np.zeros(0, np.int64)
-        points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
         first = np.zeros(len(points) + 1, bool)
         first[starts] = True
         return boundaries(points, first[:-1])
 
     def encode(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
         """Ids and the byte offsets (begin, end) of each in the text's UTF-8 form."""
-        joined = next(self.texts([text]))
-        ids = [int(x) for x in joined.split(",")] if joined else []
+        ids = next(self.ids([text])).tolist()
         ends = np.cumsum([len(self.by_id[i]) for i in ids]).tolist()
         return ids, list(zip([0, *ends][:-1], ends))
 
@@ -418,14 +485,14 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        back = enc.by_text.__getitem__
+        shown, back = enc.as_text.__getitem__, enc.by_id.__getitem__
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             n, ids_sha, text_sha = [], [], []
-            for joined in enc.texts(texts):
-                ids = joined.split(",") if joined else []
+            for found in enc.ids(texts):
+                ids = found.tolist()
                 n.append(len(ids))
-                ids_sha.append(hashlib.sha256(joined.encode()).hexdigest())
+                ids_sha.append(hashlib.sha256(",".join(map(shown, ids)).encode()).hexdigest())
                 text_sha.append(hashlib.sha256(b"".join(map(back, ids))).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -442,7 +509,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
         enc = encoder(path)
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
-            ids = [np.array(x.split(","), np.int32) if x else np.zeros(0, np.int32) for x in enc.texts(texts)]
+            ids = list(enc.ids(texts))
             ends = np.cumsum([0, *map(len, ids)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))], names=["id", "ids"])
 

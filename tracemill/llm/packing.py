@@ -112,11 +112,8 @@ def packed(docs: DataFrame, path: str, row_tokens: int = ROW_TOKENS, pad: int =
             id_type = batch.column(0).type
             names = batch.column(0).to_pylist()
             texts = [x or "" for x in batch.column(1).to_pylist()]
-            for name, joined in zip(names, enc.texts(texts)):
-                if not joined:
-                    continue
-                ids = np.fromstring(joined, dtype=np.int32, sep=",").astype(dtype)
-                for at, part in pieces(ids, row_tokens):
+            for name, ids in zip(names, enc.ids(texts)):
+                for at, part in pieces(ids.astype(dtype), row_tokens):
                     buffer.append((name, at, part))
                     size += len(part)
                     if size >= BUFFER_TOKENS:
